@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import substrings
+from plinth.llm import nearcopies, substrings
 from plinth.llm.common import table
 
 
@@ -12,7 +12,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated(table(spark, sf_dir, "documents"), length=35).drop("kept")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
