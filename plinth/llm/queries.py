@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import nearcopies, substrings, topk
+from plinth.llm import mixing, nearcopies, substrings, topk
 from plinth.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated(table(spark, sf_dir, "documents"), length=35).drop("kept")
 
@@ -23,6 +27,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bitsliced_top_k": op1_bitsliced_top_k,
+    "op3_source_mixing": op3_source_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
