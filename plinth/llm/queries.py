@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, mixing, nearcopies, substrings, topk
+from plinth.llm import chat, language, mixing, nearcopies, quality, substrings, topk
 from plinth.llm.common import table
 
 
@@ -37,11 +37,22 @@ def op7_reply_tree_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_bitsliced_top_k": op1_bitsliced_top_k,
     "op3_source_mixing": op3_source_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_reply_tree_format": op7_reply_tree_format,
+    "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
