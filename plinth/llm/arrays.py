@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are turned into arrays at once.
 SLICE_BYTES = 1 << 20
@@ -143,3 +144,22 @@ def full(words: Words, length: int, at: np.ndarray | None = None) -> np.ndarray:
     last = np.repeat(words.first[1:] - length, words.count)
     at = np.arange(len(words)) if at is None else at
     return at[at <= last[at]]
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of rows with a doc_id, the text as zstd (null: empty), for texts that are shuffled."""
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [len(raw := (t or "").encode()).to_bytes(8, "little") + codec.compress(raw, asbytes=True) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(compress, "doc_id long, text binary")
+
+
+def plain(packed: pa.Array) -> pa.Array:
+    """The texts that compressed() made."""
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in packed.to_pylist()], pa.binary()).cast(pa.string())

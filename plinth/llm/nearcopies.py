@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.arrays import Words, full, mix, slices, windows
+from plinth.llm.arrays import SLICE_BYTES, Words, compressed, full, mix, plain, slices, windows
 from plinth.llm.common import cut
 from plinth.llm.graph import components
 
@@ -131,13 +131,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = ("", np.zeros(0, np.uint64))
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
-            for part in slices(batch, "ta"):
+            for part in slices(batch, "ta", SLICE_BYTES // 2):
                 keep = []
-                for x, y in zip(shingle_sets(part.column("ta")), part.column("tb").to_pylist(), strict=True):
+                for x, y in zip(shingle_sets(plain(part.column("ta"))), part.column("tb").to_pylist(), strict=True):
                     if y != last[0]:  # rows come by b
-                        last = (y, shingle_sets(pa.array([y], pa.string()))[0])
+                        last = (y, shingle_sets(plain(pa.array([y], pa.binary())))[0])
                     both = len(np.intersect1d(x, last[1], assume_unique=True))
                     keep.append(100 * both >= percent * (len(x) + len(last[1]) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -163,13 +163,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     packed = [f"p{i}" for i in range(PACKED)]
     classes = members.filter("doc_id = class")
     # Buckets with several classes; the pivot is the class that meets most others in all its buckets.
-    banded = classes.select("class", F.explode("bands").alias("band")).distinct()
-    shared = banded.join(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band")
+    banded = classes.select("class", F.explode("bands").alias("band"))
+    shared = cut(banded.join(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band"))
     degree = shared.groupBy("class").agg(F.sum("size").alias("degree"))
     buckets = cut(shared.select("band", "class").join(degree, "class"))
     pivots = buckets.groupBy("band").agg(F.max_by("class", F.struct("degree", -F.col("class"))).alias("pivot"))
     stats = cut(classes.select("class", "n_shingles", *packed).join(degree.select("class"), "class", "left_semi"))
-    texts = cut(docs.select("doc_id", "text").join(degree.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
+    texts = cut(compressed(docs).join(degree.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
 
     pairs = buckets.join(pivots, "band").filter("class != pivot").select(F.col("class").alias("x"), F.col("pivot").alias("y")).distinct()
     x, y = (stats.alias(k).withColumnRenamed("class", "id").alias(k) for k in "xy")
