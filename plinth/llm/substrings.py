@@ -6,6 +6,8 @@ a difference cover: for any two positions i and j some shift d < period brings
 both i + d and j + d onto the cover, so two equal windows, wherever they begin,
 share an anchor that lies at the same place in both.
 
+0. Texts that are equal as a whole are one text to the others, and all of their
+   windows repeat.
 1. Every text gives the hashes of its anchors; hashes met twice go back to
    their documents.
 2. Only windows that hold such an anchor are extended to the full length and
@@ -26,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.arrays import Words, byte_view, full, mix, slices, windows
-from plinth.llm.common import partitions
 
 #: Perfect difference sets: every difference modulo the period occurs.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -96,15 +97,28 @@ def _tags(texts: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
 
 
-def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
-    """(doc_id, spans): for documents with windows that also begin elsewhere, the spans these cover.
+def _with_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, text, copy, first: whether the whole text also is that of another row; of such rows, whether it has the least doc_id.
+
+    Kept as digests of texts by doc_id, so that rows that share a doc_id stay apart.
+    """
+    digest = lambda: F.unhex(F.md5("text"))
+    named = docs.select("doc_id", digest().alias("m")).filter("m is not null")
+    classes = named.groupBy("m").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    found = named.join(classes, "m").groupBy("doc_id").agg(F.collect_set("m").alias("ms"), F.collect_set(F.when(F.col("doc_id") == F.col("least"), F.col("m"))).alias("firsts"))
+    has = lambda c: F.coalesce(F.array_contains(c, digest()), F.lit(False))
+    return docs.join(found, "doc_id", "left").select("doc_id", "text", has("ms").alias("copy"), has("firsts").alias("first"))
+
+
+def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, spans) of rows (doc_id, text, copy, first): for documents with windows that also begin elsewhere, the spans these cover.
 
     A span is struct(at long, n int): n windows in a row begin at word at >> 32;
     the low half of `at` is the CRC-32 of the text, which tells rows apart that
     share a doc_id.
     """
-    n = partitions(docs.sparkSession)
-    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    # Copies of a whole text repeat everywhere; only the first speaks for them to other texts.
+    docs = docs.filter("not copy or first").select("doc_id", "text", "copy")
     first = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int8())])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +137,9 @@ def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
                     {"k": _signed(mix(ids[known].astype(np.uint64))), "h": _signed(hashes[known]), "doc_id": ids[known], "n": np.zeros(len(known), np.int8)},
                 ])
 
-    met = docs.mapInArrow(anchors, "k long, h long, doc_id long, n tinyint").repartition(n, "k")
-    twice = met.filter("n > 0").groupBy("k").agg(F.sum("n").alias("c")).filter("c > 1").select("k")
-    shared = met.filter("n = 1").join(twice, "k").select("doc_id", F.col("k").alias("h")).unionByName(met.filter("n = 0").select("doc_id", "h"))
+    # One exchange and one sort: the sum over a hash's rows tells whether it was met twice.
+    met = docs.select("doc_id", "text").mapInArrow(anchors, "k long, h long, doc_id long, n tinyint").withColumn("c", F.sum("n").over(Window.partitionBy("k")))
+    shared = met.filter("n = 0 or n = 1 and c > 1").select("doc_id", F.coalesce("h", "k").alias("h"))
     lists = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
 
     second = pa.schema([("k", pa.int64()), ("x", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
@@ -135,7 +149,8 @@ def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
         settle = Settled()
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part.column("text"))
+                texts = part.column("text")
+                words = Words(texts)
                 hashes = words.hashes()
                 at, found = _anchors(words, hashes, length)
                 lists = part.column("hs")
@@ -156,7 +171,8 @@ def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
                 whole = windows(hashes, length)[begin]
                 other = windows(words.hashes(1), length)[begin] >> np.uint64(32)
                 ids = part.column("doc_id").to_numpy()[text[begin]]
-                places = ((begin - words.first[text[begin]]) << 32) | _tags(part.column("text"))[text[begin]]
+                counts = np.where(part.column("copy").to_numpy(zero_copy_only=False), 2, 1).astype(np.int32)[text[begin]]
+                places = ((begin - words.first[text[begin]]) << 32) | _tags(texts)[text[begin]]
                 one, known, news = settle(whole ^ mix(other.copy()))
                 known.sort()
                 # Neighbouring known windows of a document make one row.
@@ -165,15 +181,14 @@ def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
                 runs = np.diff(np.append(edge, len(known))).astype(np.int32)
                 lead = known[edge]
                 yield from _rows(second, [
-                    {"k": _signed(whole[one]), "x": _signed(other[one]), "doc_id": ids[one], "at": places[one], "n": np.ones(len(one), np.int32)},
+                    {"k": _signed(whole[one]), "x": _signed(other[one]), "doc_id": ids[one], "at": places[one], "n": counts[one]},
                     {"k": _signed(whole[news]), "x": _signed(other[news]), "doc_id": ids[news], "n": np.full(len(news), 2, np.int32)},
                     {"k": _signed(mix(ids[lead].astype(np.uint64))), "doc_id": ids[lead], "at": places[lead], "n": -runs},
                 ])
 
     joined = docs.join(lists, "doc_id")
-    met = joined.mapInArrow(candidates, "k long, x long, doc_id long, at long, n int").repartition(n, "k")
-    twice = met.filter("n > 0").groupBy("k", "x").agg(F.sum("n").alias("c")).filter("c > 1").select("k", "x")
-    spans = met.filter("n = 1").join(twice, ["k", "x"]).select("doc_id", "at", "n").unionByName(met.filter("n < 0").select("doc_id", "at", F.expr("-n").alias("n")))
+    met = joined.mapInArrow(candidates, "k long, x long, doc_id long, at long, n int").withColumn("c", F.sum("n").over(Window.partitionBy("k", "x")))
+    spans = met.filter("n < 0 or n = 1 and c > 1").select("doc_id", "at", F.abs("n").alias("n"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
@@ -186,17 +201,19 @@ def drop_repeated(docs: DataFrame, length: int = 35) -> DataFrame:
     them; rows that share a doc_id are separate places, so repeated rows repeat
     each other's windows.  Empty tables give no rows; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    spans = repeated_spans(docs, length)
+    docs = _with_copies(docs.select("doc_id", "text").filter("doc_id is not null"))
+    spans = _repeated_spans(docs, length)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, found in zip(*(batch.column(c) for c in ("doc_id", "text", "spans")), strict=True):
+            for doc_id, text, copy, found in zip(*(batch.column(c) for c in ("doc_id", "text", "copy", "spans")), strict=True):
                 raw = (text.as_py() or "").encode()
                 words = raw.split()
                 kept = words
-                if found.is_valid:
+                if copy.as_py():
+                    kept = words if len(words) < length else []
+                elif found.is_valid:
                     places = found.values
                     at, n = (places.field(i).to_numpy() for i in (0, 1))
                     mine = (at & 0xFFFFFFFF) == zlib.crc32(raw)
