@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, language, mixing, nearcopies, quality, substrings, topk
+from plinth.llm import chat, language, lengths, mixing, nearcopies, packing, quality, substrings, topk
 from plinth.llm.common import table
 
 
@@ -13,10 +14,19 @@ def op1_bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lengths.suffix_sums(lengths.encoded_lengths(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated(table(spark, sf_dir, "documents"), length=35).drop("kept")
 
@@ -48,7 +58,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bitsliced_top_k": op1_bitsliced_top_k,
+    "op2_token_counts": op2_token_counts,
     "op3_source_mixing": op3_source_mixing,
+    "op4_sequence_packing": op4_sequence_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_reply_tree_format": op7_reply_tree_format,
     "op8_language_id": op8_language_id,
