@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, language, lengths, mixing, nearcopies, packing, quality, substrings, topk
+from plinth.llm import chat, language, lengths, mixing, nearcopies, packing, personal, quality, substrings, topk
 from plinth.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_reply_tree_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_sequence_packing": op4_sequence_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_reply_tree_format": op7_reply_tree_format,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
