@@ -67,7 +67,7 @@ _DOT = re.compile(r"\s{0,2}[\[({<]\s?(?:dot|\.|punkt|point|punto)\s?[\])}>]\s{0,
 #: A whole address in bare words: someone at host dot domain (dot domain).
 _BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:(?:\s(?:dot)\s|\.)[A-Za-z0-9_%+-]+){0,4}(?:\sat\s|@)[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)+(?![\w-])", re.I)
 _BARE_SIGN = re.compile(r"\s(at|dot)\s", re.I)
-_DISGUISE = re.compile(rf"[^\x00-ɏ‘-‟…]|[­·]|[\[({{<]\s?(?:at|dot|@|\.|arroba|punkt|point|punto)\s?[\])}}>]|\s@|@\s|\sdot\s|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,-]{{1,2}}){{3}}|(?<!\w)plus[ -]?[0-9(]", re.I)
+_DISGUISE = re.compile(rf"[^\x00-ɏ‘-‟…]|[­·]|[\[({{<]\s?(?:at|dot|@|\.|arroba|punkt|point|punto)\s?[\])}}>]|\s@|@\s|\sdot\s|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,()-]{{0,3}}){{3}}|(?<!\w)plus[ -]?[0-9(]", re.I)
 
 Span = tuple[int, int]
 
