@@ -54,18 +54,12 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix(docs: DataFrame, size_of: Column | None = None, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and copies (0, 1 or 2).
+def _hash(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(seed)), 64 - HASH_BITS)
 
-    Sources rank by code point, null last.  taken = copies * size; for each source
-    the sum of taken is as near to its target as whole documents in hash order
-    come, so it is off by at most half of the boundary document.  The hash is that
-    of doc_id (of the text where that is null): rows that share it go together,
-    and reruns agree.  A null text has size 0, is never needed for a target and is
-    taken like its neighbours in hash order.  An empty table gives no rows; other columns are ignored.
-    """
-    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(seed)), 64 - HASH_BITS)
-    sized = cut(docs.select("doc_id", "source", (size(F.col("text")) if size_of is None else size_of).alias("size"), hashed.alias("hash")))
+
+def thresholds(sized: DataFrame) -> DataFrame:
+    """(s, source_size, target, whole, limit) for each source of sized (source, size, hash): whole copies of all, and one more of hashes below limit."""
     # A budget for each source: whole copies aside, what the threshold has to give.
     state = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(F.lit(0))
@@ -90,6 +84,35 @@ def mix(docs: DataFrame, size_of: Column | None = None, seed: int = 0) -> DataFr
         ))
     # The last bucket is a single hash value: in, if that comes nearer.
     limit = F.col("prefix") + F.when(F.col("open") & (2 * F.col("left") >= F.col("width")), 1).otherwise(0)
-    plan = state.select(F.col("source").alias("s"), "source_size", "target", "whole", limit.alias("limit"))
-    copies = (F.col("whole") + F.when((F.col("hash") < F.col("limit")) & (F.col("whole") < MOST), 1).otherwise(0)).cast("int")
-    return sized.join(plan, _same("source", "s")).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return state.select(F.col("source").alias("s"), "source_size", "target", "whole", limit.alias("limit"))
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when((F.col("hash") < F.col("limit")) & (F.col("whole") < MOST), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, size_of: Column | None = None, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and copies (0, 1 or 2).
+
+    Sources rank by code point, null last.  taken = copies * size; for each source
+    the sum of taken is as near to its target as whole documents in hash order
+    come, so it is off by at most half of the boundary document.  The hash is that
+    of doc_id (of the text where that is null): rows that share it go together,
+    and reruns agree.  A null text has size 0, is never needed for a target and is
+    taken like its neighbours in hash order.  An empty table gives no rows; other columns are ignored.
+    """
+    sized = cut(docs.select("doc_id", "source", (size(F.col("text")) if size_of is None else size_of).alias("size"), _hash(seed).alias("hash")))
+    joined = sized.join(thresholds(sized), _same("source", "s"))
+    return joined.select("doc_id", "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"), _copies().alias("copies"))
+
+
+def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of docs that the mix takes, all columns, those taken twice as two rows.
+
+    Each row is judged where it is read, by its hash and its source's threshold;
+    docs are neither sorted nor joined by document.
+    """
+    plan = thresholds(cut(docs.select("source", size(F.col("text")).alias("size"), _hash(seed).alias("hash"))))
+    names = docs.columns
+    held = docs.select(F.struct(*names).alias("row"), F.col("source").alias("source"), _hash(seed).alias("hash")).join(plan, _same("source", "s"))
+    return held.select("row", F.explode(F.array_repeat(F.lit(0), _copies()))).select("row.*")
