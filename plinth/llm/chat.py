@@ -58,9 +58,12 @@ def paths(tree: DataFrame, best: int = 1) -> DataFrame:
     jumps = []
     rows = jump.count()
     while (open_now := jump.filter("up is not null").count()) and 2 ** len(jumps) < rows:
-        jumps.append(jump.filter("up is not null").select("key", "node_id", "up"))
+        going = jump.filter("up is not null")
+        jumps.append(going.select("key", "node_id", "up"))
         far = jump.select(F.col("key").alias("k"), F.col("node_id").alias("n"), F.col("up").alias("u"), F.col("total").alias("t"), F.col("steps").alias("s"))
-        jump = cut(jump.join(far, (F.col("key") == F.col("k")) & (F.col("up") == F.col("n")), "left").select("key", "node_id", F.col("u").alias("up"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("s", F.lit(0))).alias("steps")))
+        further = going.join(far, (F.col("key") == F.col("k")) & (F.col("up") == F.col("n"))).select("key", "node_id", F.col("u").alias("up"), (F.col("total") + F.col("t")).alias("total"), (F.col("steps") + F.col("s")).alias("steps"))
+        # Messages that have reached their root are not joined again.
+        jump = cut(jump.filter("up is null").unionByName(further))
     rooted = jump.filter("up is null") if open_now else jump
     inner = links.filter("up is not null").select("key", F.col("up").alias("node_id")).distinct()
     leaves = rooted.join(inner, ["key", "node_id"], "left_anti")
