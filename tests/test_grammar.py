@@ -1,0 +1,58 @@
+"""What is accepted, as what; what is rejected."""
+
+import pytest
+
+from plinth import SqlCompileError, parse
+from plinth.plans.statement import Call, Comparison, Join, Literal, Name, Select, SortKey
+
+ACCEPTED = {
+    "SELECT * FROM t": Select(None, "t"),
+    "select A, t.b from t ;": Select((Name("A"), Name("b", "t")), "t"),
+    "SELECT x FROM t -- note\n WHERE x = -1 AND y <> 'it''s' AND z >= +2.50 AND f = True": Select(
+        (Name("x"),), "t", None,
+        (Comparison(Name("x"), "=", Literal("integer", -1)), Comparison(Name("y"), "<>", Literal("string", "it's")), Comparison(Name("z"), ">=", Literal("decimal", 2.5)), Comparison(Name("f"), "=", Literal("boolean", True))),
+    ),
+    "SELECT x FROM t WHERE x != 1": Select((Name("x"),), "t", None, (Comparison(Name("x"), "<>", Literal("integer", 1)),)),
+    "SELECT COUNT(*) FROM t": Select((Call("COUNT", None),), "t"),
+    "SELECT sum ( t.x ), k FROM t GROUP BY k": Select((Call("SUM", Name("x", "t")), Name("k")), "t", None, (), (Name("k"),)),
+    "SELECT COUNT FROM t": Select((Name("COUNT"),), "t"),
+    "SELECT x FROM t ORDER BY x DESC, y ASC, z LIMIT 3": Select((Name("x"),), "t", None, (), (), (SortKey(Name("x"), True), SortKey(Name("y")), SortKey(Name("z"))), 3),
+    "SELECT * FROM L INNER JOIN R ON R.b = l.a AND L.c = R.d LIMIT 2": Select(None, "L", Join("R", ((Name("a", "l"), Name("b", "R")), (Name("c", "L"), Name("d", "R")))), (), (), (), 2),
+}
+
+REJECTED = [
+    "", "SELEC x FROM t", "SELECT FROM t", "SELECT x", "SELECT x FROM", "SELECT x FROM t t2", "SELECT x AS y FROM t", "SELECT DISTINCT x FROM t", "SELECT x + 1 FROM t",
+    "SELECT x FROM t WHERE", "SELECT x FROM t WHERE x", "SELECT x FROM t WHERE x = y", "SELECT x FROM t WHERE 1 = x", "SELECT x FROM t WHERE x = 1 OR x = 2", "SELECT x FROM t WHERE NOT x = 1",
+    "SELECT x FROM t WHERE x IS NULL", "SELECT x FROM t WHERE x IS NOT NULL", "SELECT x FROM t WHERE x BETWEEN 1 AND 2", "SELECT x FROM t WHERE x LIKE 'a'", "SELECT x FROM t WHERE x IN (1)", "SELECT x FROM t WHERE x = 'a",
+    "SELECT x FROM t WHERE x = 1e3", "SELECT x FROM t WHERE x = .5", "SELECT x FROM t WHERE x = 5.", "SELECT x FROM t WHERE x = - 1", "SELECT x FROM t WHERE (x = 1)",
+    "SELECT SUM(*) FROM t", "SELECT AVG(x) FROM t", "SELECT SUM(x), SUM(y) FROM t", "SELECT SUM(x), y FROM t", "SELECT COUNT(DISTINCT x) FROM t", "SELECT * FROM t GROUP BY x", "SELECT x FROM t GROUP BY x",
+    "SELECT k, SUM(x) FROM t GROUP BY k HAVING SUM(x) > 1", "SELECT k, SUM(x) FROM t GROUP BY k ORDER BY k", "SELECT k, SUM(x) FROM t GROUP BY k LIMIT 1", "SELECT SUM(x) FROM t LIMIT 1",
+    "SELECT x FROM t LIMIT 0", "SELECT x FROM t LIMIT -1", "SELECT x FROM t LIMIT 1.5", "SELECT x FROM t LIMIT ALL", "SELECT x FROM t LIMIT 5 OFFSET 2", "SELECT x FROM t LIMIT 1 ORDER BY x", "SELECT x FROM t ORDER BY 1",
+    "SELECT x FROM t; SELECT x FROM t", "SELECT x FROM a, b", "SELECT x FROM a JOIN b ON a.x = b.x", "SELECT x FROM a LEFT JOIN b ON a.x = b.x", "SELECT x FROM a CROSS JOIN b",
+    "SELECT x FROM a INNER JOIN b ON x = b.x", "SELECT x FROM a INNER JOIN b ON a.x < b.x", "SELECT x FROM a INNER JOIN b ON a.x = a.y", "SELECT x FROM a INNER JOIN b ON a.x = c.y",
+    "SELECT x FROM a INNER JOIN b ON a.x = b.x INNER JOIN c ON b.x = c.x", "SELECT SUM(x) FROM a INNER JOIN b ON a.x = b.x", "SELECT x FROM (SELECT x FROM t)", "WITH a AS (SELECT 1) SELECT * FROM a",
+    "SELECT x FROM t UNION SELECT x FROM t", "INSERT INTO t VALUES (1)", "CREATE TABLE t (x INT)", "EXPLAIN SELECT x FROM t", "SELECT \"x\" FROM t", "SELECT s.t.x FROM t", "SELECT CASE WHEN x THEN 1 END FROM t",
+    "SELECT CAST(x AS INT) FROM t", "SELECT from FROM t", "SELECT x FROM group", "SELECT x OVER () FROM t",
+]
+
+
+@pytest.mark.parametrize("sql", ACCEPTED)
+def test_accepted(sql):
+    assert parse(sql) == ACCEPTED[sql]
+
+
+@pytest.mark.parametrize("sql", REJECTED)
+def test_rejected(sql):
+    with pytest.raises(SqlCompileError):
+        parse(sql)
+
+
+def test_positions_are_those_of_the_trimmed_text():
+    with pytest.raises(SqlCompileError) as found:
+        parse("   SELECT x FROM t WHERE x ? 1")
+    assert found.value.position == 24
+
+
+def test_explain_names_every_clause():
+    text = parse("SELECT a.x FROM a INNER JOIN b ON b.k = a.k WHERE a.s = 'q''s' ORDER BY a.x DESC LIMIT 4").explain()
+    assert text == "join a with b on a.k = b.k | filter a.s = 'q''s' | output a.x | order by a.x DESC | limit 4"
