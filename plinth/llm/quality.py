@@ -20,8 +20,8 @@ from plinth.llm.common import SPACE, words
 BUCKETS, ALPHA = 1 << 14, 1.0
 #: Trusted documents that are learned from at most (those of the least hashes of doc_id), a documented bound of the fit.
 TRUSTED = 10_000
-#: Share of the trusted documents whose score the threshold lies below, and slack below that.
-QUANTILE, SLACK = 0.005, 0.05
+#: One of so many trusted documents is held out of the counts; the threshold lies SLACK below this quantile of their scores.
+HELD_OUT, QUANTILE, SLACK = 4, 0.005, 0.05
 
 
 def _features(w: Column) -> Column:
@@ -70,11 +70,16 @@ class Ratio:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Ratio:
-    """Ratios of trusted documents (quality 1) to all documents; without trusted ones all ratios are 0 and everything passes."""
+    """Ratios of trusted documents (quality 1) to all documents; without trusted ones all ratios are 0 and everything passes.
+
+    Without any held out that has 50 words the threshold is SLACK below 0.
+    """
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     good = F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select(F.col("doc_id").alias("trusted")))
+    # Documents that were counted as trusted score above their like, so others of them set the threshold.
+    tested = F.pmod(F.xxhash64("trusted", F.lit(1)), F.lit(HELD_OUT)) == 0
     marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("trusted"), "left")
-    each = marked.select(F.col("trusted").isNotNull().alias("good"), words(F.col("text")).alias("w")).select("good", F.explode(_features(F.col("w"))).alias("bucket"))
+    each = marked.select((F.col("trusted").isNotNull() & ~tested).alias("good"), words(F.col("text")).alias("w")).select("good", F.explode(_features(F.col("w"))).alias("bucket"))
     rows = each.groupBy("bucket").agg(F.count("*").alias("every"), F.count_if("good").alias("good")).collect()  # BUCKETS at most
     every, trusted = ({r["bucket"]: r[c] for r in rows} for c in ("every", "good"))
     n, m = sum(every.values()), sum(trusted.values())
@@ -82,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ratio:
         return Ratio([0.0] * BUCKETS, 0.0)
     ratio = lambda b: math.log((trusted.get(b, 0) + ALPHA) / (m + ALPHA * BUCKETS)) - math.log((every.get(b, 0) + ALPHA) / (n + ALPHA * BUCKETS))
     found = Ratio([ratio(b) for b in range(BUCKETS)], 0.0)
-    scored = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("trusted")).select(words(F.col("text")).alias("w")).filter(F.size("w") >= 50)
+    scored = docs.select("doc_id", "text").join(good.filter(tested), F.col("doc_id") == F.col("trusted")).select(words(F.col("text")).alias("w")).filter(F.size("w") >= 50)
     low = scored.select(found.score(F.col("w")).alias("score")).agg(F.percentile("score", QUANTILE)).first()[0]
     found.threshold = min(0.0, low or 0.0) - SLACK
     return found
