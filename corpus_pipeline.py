@@ -16,8 +16,8 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in a language that the labelled rows teach; texts that are null or have no letters go."""
     model = language.train(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out()))
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return language.predict(docs, model).filter(known).select(*docs.columns)
+    known = (F.col("__language") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)
+    return language.predict(docs, model, out=("__language", "__score")).filter(known).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,24 +143,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Columns `keep` of docs (all) with lang_pred and score (0 to 1) from each row's whole text; `und` and 0 for a null text or one without letters.
 
-    Columns of docs named lang_pred or score are replaced.  With a model of no
-    languages every answer is `und`.
+    out: names of the two new columns; columns of docs with these names are
+    replaced.  With a model of no languages every answer is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
     docs = docs.select(*keep, *[c for c in ["text"] if c not in keep])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 languages, scores = shared.value.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *out])
 
     fields = [docs.schema[c] for c in keep]
-    return docs.mapInArrow(score, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

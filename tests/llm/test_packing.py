@@ -1,0 +1,78 @@
+import collections
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from plinth.llm.packing import Bins, pack, pack_lengths
+from plinth.llm.tokens import word_bpe
+from tests.llm.support import corpus, frame
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_every_token_once_and_no_padding(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([0, 1, 2, 63, 64, 65, rng.randint(0, 300)]) for _ in range(rng.randint(0, 40))]
+    pieces = collections.defaultdict(list)
+    for sequence in pack_lengths(lengths, 64):
+        n = sum(p[2] for p in sequence)
+        assert n == 64 or 0 < n < 64 and n & (n - 1) == 0
+        for doc, start, size in sequence:
+            pieces[doc].append((start, size))
+    for doc, n in enumerate(lengths):
+        at = 0
+        for start, size in sorted(pieces[doc]):
+            assert start == at and size > 0
+            at += size
+        assert at == n
+
+
+def test_first_fit():
+    bins = Bins(5, 10)
+    assert [bins.take(n) for n in (7, 6, 3, 4, 9)] == [0, 1, 0, 1, 2]
+
+
+def test_as_the_library_encodes(spark):
+    rows = corpus() + [(None, "no id", "en", "s"), (80, "A <|endoftext|> b.C's <|ENDOFTEXT|>", "en", "s")]
+    rows = [r for r in rows if r[0] not in (68, 69)] + [(68, rows[-4][1][:60_000], "en", "s1")]
+    library = Tokenizer.from_file(PATH)
+    found = pack(frame(spark, rows, clashing=True), PATH).collect()
+    assert {r["offset"] for r in found} >= {0}
+    by_sequence, tokens = collections.defaultdict(list), collections.Counter()
+    for r in found:
+        by_sequence[r["sequence_id"]].append(r)
+        tokens[r["doc_id"]] += r["length"]
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+    for sequence in by_sequence.values():
+        at = 0
+        for r in sorted(sequence, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096
+    copies = collections.Counter(r[0] for r in rows)
+    for i, text, *_ in {r[0]: r for r in rows}.values():
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tokens[i] == copies[i] * len(ids)
+        if copies[i] == 1:
+            parts = sorted((r["start"], bytes(r["ids"])) for r in found if r["doc_id"] == i)
+            assert b"".join(p for _, p in parts) == ids.tobytes()
+
+
+def test_empty(spark):
+    assert pack(frame(spark, []), PATH).collect() == []
+    assert [(r["length"], r["doc_tokens"]) for r in pack(frame(spark, [(1, None, None, None)]), PATH).collect()] == [(1, 1)]
+
+
+PARTS = ["a", "The", "é", "É", "é", "́", " ", "\n", "\t", "\x0b", "\r", " ", ".", ",", "...", "'s", "'LL", "'", "1", "23", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "ß", "İ", "Σ", "ς", "!", "日本", "​", "\x00", "😀", "\x85", "ﬁ", "ı", "×", "÷", "ª", "µ", "ÿ", "$$$", "|", ";"]
+
+
+def test_words_of_random_texts():
+    known, rng = word_bpe(PATH), random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12)))
+        assert known.encode([text])[0].tolist() == known.library.encode(text, add_special_tokens=False).ids, repr(text)

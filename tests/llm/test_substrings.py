@@ -1,0 +1,58 @@
+import collections
+import hashlib
+
+import pytest
+
+from plinth.llm.substrings import COVERS, cover, drop_repeated
+from tests.llm.support import corpus, frame, prose, words
+
+
+def brute(rows, length):
+    texts = [(i, words(t)) for i, t, *_ in rows if i is not None]
+    seen = collections.Counter(tuple(w[i : i + length]) for _, w in texts for i in range(len(w) - length + 1))
+    out = []
+    for doc, w in texts:
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((doc, len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    return sorted(out)
+
+
+def run(spark, rows, length, **more):
+    return sorted(map(tuple, drop_repeated(frame(spark, rows, **more), length).collect()))
+
+
+@pytest.mark.parametrize("seed, length", [(0, 35), (1, 35), (2, 12), (3, 4)])
+def test_as_brute_force(spark, seed, length):
+    rows = corpus(seed) + [(None, prose(seed, 90), "en", "s0"), (66, prose(seed + 4, 80), "en", "s0")]
+    assert run(spark, rows, length, clashing=True) == brute(rows, length)
+
+
+def test_edges_of_matches(spark):
+    a, b = prose(1, 34), prose(2, 35)
+    rows = [(i, f"{prose(10 + i, 7)} {a} {prose(20 + i, 9)} {b} {prose(30 + i, 5)}", "en", "s") for i in range(3)] + [(9, a, "en", "s"), (10, b, "en", "s")]
+    found = run(spark, rows, 35)
+    assert found == brute(rows, 35) and found[0][2] == 35 and found[3][2] == 0 and found[4][2] == 35
+
+
+def test_windows_that_repeat_in_one_text(spark):
+    rows = [(1, "a " * 100, "en", "s"), (2, prose(3, 40) + " x " + prose(3, 40), "en", "s"), (3, "a " * 35, "en", "s"), (4, "b " * 35, "en", "s")]
+    assert run(spark, rows, 35) == brute(rows, 35)
+
+
+def test_empty(spark):
+    assert run(spark, [], 35) == []
+
+
+@pytest.mark.parametrize("period", COVERS)
+def test_covers_have_every_difference(period):
+    assert {(a - b) % period for a in COVERS[period] for b in COVERS[period]} == set(range(period))
+
+
+def test_anchors_fit_windows():
+    for length in range(1, 80):
+        period, there, size = cover(length)
+        assert size + period - 1 == length and size >= 1 and there.any()

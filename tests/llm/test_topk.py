@@ -1,0 +1,59 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plinth.llm.topk import Block, top_k
+
+
+def brute(rows, k, every, scale=64):
+    sound = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            sound.setdefault(i, []).append([math.floor(scale * x) for x in v])
+    out = []
+    for i in sound:
+        if i % every == 0:
+            for q in sound[i]:
+                found = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, vs in sound.items() if j != i for v in vs if len(v) == len(q))
+                out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found[:k])]
+    return sorted(out)
+
+
+def run(spark, rows, k=5, every=4):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS q", "1 AS score", "2 AS id").repartition(3)
+    return sorted(map(tuple, top_k(df, F.col("vec_id") % every == 0, k).collect()))
+
+
+def test_as_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=9).astype(np.float32)]) for i in range(130)]
+    rows += [(200 + i, rows[3][1]) for i in range(30)]  # ties
+    rows += [(300, None), (301, []), (304, [1.0, None] + [0.0] * 7), (308, [math.nan] * 9), (312, [math.inf] + [0.0] * 8), (None, [1.0] * 9)]
+    assert run(spark, rows) == brute(rows, 5, 4)
+
+
+def test_few_candidates_and_other_widths(spark):
+    rows = [(0, [1.0, 2.0]), (1, [0.5, -1.0]), (4, [1.0]), (8, [3.0, 3.0])]
+    assert run(spark, rows) == brute(rows, 5, 4)
+    assert run(spark, [(0, [0.0, 0.0]), (1, [0.0, 0.0])]) == [(0, 1, 1, 0)]
+    assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == []
+
+
+def test_too_large_components_are_an_error(spark):
+    with pytest.raises(Exception, match="exceeds"):
+        run(spark, [(0, [1e9]), (1, [1.0])])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks(seed):
+    rng = np.random.default_rng(seed)
+    rows, width, k = int(rng.integers(1, 200)), int(rng.integers(1, 20)), int(rng.integers(1, 9))
+    values, queries = (rng.integers(-int(m), int(m) + 1, size=(n, width)) for n, m in ((rows, rng.integers(0, 60)), (5, rng.integers(0, 60))))
+    own = rng.integers(-1, rows, size=5)
+    q, row, score = Block(values).top(queries, own, k)
+    for i in range(5):
+        exact = values @ queries[i]
+        best = sorted((r for r in range(rows) if r != own[i]), key=lambda r: (-exact[r], r))[:k]
+        assert sorted(row[q == i]) == sorted(best) and (score[q == i] == exact[row[q == i]]).all()
