@@ -7,7 +7,9 @@ counting bits.  Candidates are confirmed on whole sets:
 
 1. every class against the best-connected class of each of its buckets;
 2. then, within buckets that still hold several components, only pairs across
-   components whose sizes and estimate leave a link possible.
+   components that can be linked at all: by their sizes, by the estimate, and by
+   what is known exactly of each, namely the shingles that no other text of those
+   buckets has, and how its set compares with that of the bucket's pivot.
 
 So a group of copies costs about a comparison for each member and not one for each
 pair, while no pair of classes that could still join two components is skipped.
@@ -127,23 +129,37 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return sizes & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with `shared`, the shingles in both full sets, `size`, those of b, and whether that makes a link."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
             for part in slices(batch, "ta", SLICE_BYTES // 2):
-                keep = []
+                counts = []
                 for x, y in zip(shingle_sets(plain(part.column("ta"))), part.column("tb").to_pylist(), strict=True):
                     if y != last[0]:  # rows come by b
                         last = (y, shingle_sets(plain(pa.array([y], pa.binary())))[0])
                     both = len(np.intersect1d(x, last[1], assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(last[1]) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    counts.append((both, len(last[1]), 100 * both >= percent * (len(x) + len(last[1]) - both)))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *map(pa.array, zip(*counts, strict=True))], names=["a", "b", "shared", "size", "link"])
 
     sides = [texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long").distinct()
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long, shared long, size long, link boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("size").alias("size"), F.max("link").alias("link"))
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """(class, alone): how many shingles of each text none of the other texts has."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES // 2):
+                sets = shingle_sets(plain(part.column("text")))
+                ids = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["class", "h"])
+
+    once = texts.mapInArrow(shingles, "class long, h long").groupBy("h").agg(F.min("class").alias("class"), F.count("*").alias("n")).filter("n = 1")
+    return once.groupBy("class").agg(F.count("*").alias("alone"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -168,25 +184,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     degree = shared.groupBy("class").agg(F.sum("size").alias("degree"))
     buckets = cut(shared.select("band", "class").join(degree, "class"))
     pivots = buckets.groupBy("band").agg(F.max_by("class", F.struct("degree", -F.col("class"))).alias("pivot"))
-    stats = cut(classes.select("class", "n_shingles", *packed).join(degree.select("class"), "class", "left_semi"))
+    stats = cut(classes.select("class", "n_shingles", "bands", *packed).join(degree.select("class"), "class", "left_semi"))
     texts = cut(compressed(docs).join(degree.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
 
     pairs = buckets.join(pivots, "band").filter("class != pivot").select(F.col("class").alias("x"), F.col("pivot").alias("y")).distinct()
     x, y = (stats.alias(k).withColumnRenamed("class", "id").alias(k) for k in "xy")
-    tried = cut(pairs.join(x, F.col("x") == F.col("x.id")).join(y, F.col("y") == F.col("y.id")).filter(_possible("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    links = cut(_confirmed(tried, texts, percent))
+    likely = cut(pairs.join(x, F.col("x") == F.col("x.id")).join(y, F.col("y") == F.col("y.id")).filter(_possible("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    tried = cut(_compared(likely, texts, percent))
+    links = tried.filter("link").select("a", "b")
     found = cut(components(links))
 
     # What could still join two components.
     placed = buckets.select("band", "class").join(found, F.col("class") == F.col("node"), "left").select("band", "class", F.coalesce("component", "class").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    side = cut(placed.join(split, "band").join(stats, "class"))
+    # Two sets differ at least in: the shingles that nothing else has; what more of their other shingles outside
+    # of the pivot's set one of them has; and how many more of the pivot's one of them misses.
+    against = tried.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "shared", (F.col("size") - F.col("shared")).alias("miss"))
+    # Pairs with the pivot itself are decided.
+    left = cut(placed.join(split, "band").join(pivots, "band").filter("class != pivot"))
+    population = left.select(F.col("class").alias("doc_id")).unionByName(left.select(F.col("pivot").alias("doc_id")))
+    alone = _alone(texts.join(population, "doc_id", "left_semi"))
+    side = left.join(against, ["class", "pivot"], "left").join(stats, "class").join(alone, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    side = cut(side.withColumn("other", F.col("n_shingles") - F.col("shared") - F.col("alone")).withColumn("place", F.array_position("bands", F.col("band"))).drop("shared"))
     x, y = side.alias("x"), side.alias("y")
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", percent)
+    more_of = lambda c: F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")), F.lit(0))
+    apart = F.col("x.alone") + F.col("y.alone") + more_of("other") + more_of("miss")
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & near & _possible("x", "y", percent)
+    # A pair comes from the first bucket that has both.
+    across &= F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.place")
     rest = x.join(y, across).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = ordered(rest).join(ordered(tried).distinct(), ["a", "b"], "left_anti")
-    more = cut(_confirmed(rest, texts, percent))
+    more = cut(_compared(rest, texts, percent).filter("link").select("a", "b"))
     if more.limit(1).count():
         found = cut(components(links.unionByName(more)))
 
