@@ -56,6 +56,8 @@ DIGIT_WORDS = {
 }
 #: Spelled digits that a run needs; fewer are words of a sentence beside a number.
 SPELLED = 3
+#: Real digits that a run needs before its letters count as digits.
+DIGITS = 6
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: Words and digits in turn, joined by a space, a hyphen, a comma or the word for a full stop.
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}|[0-9])(?:(?:[ ,()-]{{1,3}}|\ ?(?:\.|\(?\b(?:dot|point|punkt|punto)\b\)?)\ ?)?(?:(?<!\w)(?:{_WORD})(?!\w)|[0-9])){{3,}}(?!\w)", re.I)
@@ -65,9 +67,15 @@ _PLUS = re.compile(r"(?<!\w)plus[ -]?(?=[0-9(])", re.I)
 _AT = re.compile(r"\s{0,2}(?:[\[({<]\s?(?:at|@|arroba)\s?[\])}>]|(?<=\s)@|@(?=\s))\s{0,2}", re.I)
 _DOT = re.compile(r"\s{0,2}[\[({<]\s?(?:dot|\.|punkt|point|punto)\s?[\])}>]\s{0,2}", re.I)
 #: A whole address in bare words: someone at host dot domain (dot domain).
-_BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:(?:\s(?:dot)\s|\.)[A-Za-z0-9_%+-]+){0,4}(?:\sat\s|@)[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)+(?![\w-])", re.I)
-_BARE_SIGN = re.compile(r"\s(at|dot)\s", re.I)
-_DISGUISE = re.compile(rf"[^\x00-ɏ‘-‟…]|[­·]|[\[({{<]\s?(?:at|dot|@|\.|arroba|punkt|point|punto)\s?[\])}}>]|\s@|@\s|\sdot\s|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,()-]{{0,3}}){{3}}|(?<!\w)plus[ -]?[0-9(]", re.I)
+_BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:(?:\sdot\s|\.)[A-Za-z0-9_%+-]+){0,4}(?:\s(?:at|arroba)\s|@)[A-Za-z0-9-]+(?:(?:\s(?:dot|punto|punkt|\.)\s|\.)[A-Za-z0-9-]+)+(?![\w-])", re.I)
+_BARE_SIGN = re.compile(r"\s(at|arroba|dot|punto|punkt|\.)\s", re.I)
+#: Signs as markup writes them.
+_SIGNS = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
+_MARKUP = re.compile(r"&(?:#64|#x40|commat);|%40|&(?:#46|#x2e|period);", re.I)
+#: Letters among digits that stand for digits, in runs with digits enough.
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ ().-]{0,2}[0-9OoIl]){7,}(?![A-Za-z0-9])")
+_LETTER_DIGITS = str.maketrans("OoIl", "0011")
+_DISGUISE = re.compile(rf"[^\x00-ɏ‘-‟…]|[­·]|[\[({{<]\s?(?:at|dot|@|\.|arroba|punkt|point|punto)\s?[\])}}>]|\s@|@\s|\s(?:dot|punto|punkt)\s|@\S+\s\.\s|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,()-]{{0,3}}){{3}}|(?<!\w)plus[ -]?[0-9(]|&(?:#|commat|period)|%40|[0-9][ -]?[OoIl](?![A-Za-z])|(?<![A-Za-z])[OoIl][ -]?[0-9]", re.I)
 
 Span = tuple[int, int]
 
@@ -185,14 +193,21 @@ def _spell(run: Written) -> None:
     run.rewrite(_STOP, lambda m: "" if m.group().strip(" ,()-") == "" else ".")
 
 
+def _digits(run: Written) -> None:
+    if len(_DIGIT.findall(run.text)) >= DIGITS:
+        run.text = run.text.translate(_LETTER_DIGITS)
+
+
 def normalised(text: str) -> Written:
     out = Written(text)
     out.rewrite(_OTHER, lambda m: _plain(m.group()))
+    out.rewrite(_MARKUP, lambda m: _SIGNS[m.group().lower()])
+    out.inside(_MIXED, _digits)
     out.inside(_SPELLED, _spell)
     out.rewrite(_PLUS, lambda m: "+")
     out.rewrite(_AT, lambda m: "@")
     out.rewrite(_DOT, lambda m: ".")
-    out.inside(_BARE, lambda run: run.rewrite(_BARE_SIGN, lambda m: "@" if m.group(1).lower() == "at" else "."))
+    out.inside(_BARE, lambda run: run.rewrite(_BARE_SIGN, lambda m: "@" if m.group(1).lower() in ("at", "arroba") else "."))
     return out
 
 

@@ -40,6 +40,7 @@ DISGUISED = [
     ("email", "write to ", "john.doe (at) mail7 (dot) example (dot) com", " now"), ("email", "", "john [at] mail.example.com", "."), ("email", "x: ", "john at mail7 dot example dot com", "!"), ("email", "", "jоhn@exаmple.com", ""),
     ("email", "", "john＠mail．example．com", ""), ("email", "é ", "jo​hn@mail.example.com", ""), ("email", "", "john @ mail.example.com", ""), ("phone", "call ", "+１ (７３６) ５５５-２６７８", " or"), ("phone", "", "plus one five five five one two three four five six seven", ""),
     ("phone", "", "+1 (five five five) 555-2678", ""), ("card", "", "four one one one one one one one one one one one one one one one", ""), ("card", "ñ ", "５５５５ 5555 5555 4444", ""), ("ip", "", "192[.]168[.]1[.]1", ""), ("ip", "", "one nine two dot one six eight dot one dot one", ""), ("card", "", "4111​1111​1111​1111", ""),
+    ("card", "", "4lll 1111 1111 I11l", "."), ("phone", "", "+1 (O17) 555-77l3", ""), ("email", "", "john&#64;example.com", ""), ("email", "", "a.b%40example&period;org", ""), ("email", "", "juan arroba correo punto es", " y"), ("email", "", "john@example . com", ""),
 ]
 
 
@@ -50,7 +51,7 @@ def test_disguises_map_back(kind, before, what, after):
     assert masked(before + what + after) == f"{before}<{kind.upper()}>{after}"
 
 
-@pytest.mark.parametrize("text", ["", "meet me at noon dot", "the dot at the end", "one two three", "dos 9807915762804490 x", "point at it. com", "vier fünf sechs", "at dot at dot", "почта и текст", "a@b", "1.2.3", "+1 2", "up to 256.1.1.1"])
+@pytest.mark.parametrize("text", ["", "meet me at noon dot", "the dot at the end", "one two three", "dos 9807915762804490 x", "point at it. com", "vier fünf sechs", "at dot at dot", "почта и текст", "a@b", "1.2.3", "+1 2", "up to 256.1.1.1", "10 l of oil", "Il y a 10 ans", "100% 40 &#65;", "look at this point now", "look at a dot"])
 def test_clean_texts_stay(text):
     base, every = find(text)
     assert base == every == plain(text)
