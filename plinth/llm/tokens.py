@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 
 import numpy as np
 
 #: Words whose ids a worker remembers, besides those of the texts in hand.
 REMEMBERED = 1_600_000
 
+#: Letters that lower case, normal form and the splitter leave in one piece, and marks that are another.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
+#: Byte-level vocabularies show bytes as characters: these as themselves, all others in order from 256 on.
+_THEMSELVES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _THEMSELVES)}
+
 _MADE: dict[tuple[str, str], object] = {}
 
 
@@ -48,12 +56,32 @@ class WordBpe:
         self.older: dict[bytes, bytes] = {}
         self.mark = "<|endoftext|>"
         self.end = self.library.token_to_id(self.mark)
+        self.merges, self.marks = self.library.model, {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def _simple(self, word: str) -> bytes | None:
+        """Ids of letters of Latin-1 and marks after them: one piece each for the merges, without the library's other steps."""
+        found = _SIMPLE.fullmatch(word)
+        if found is None:
+            return None
+        letters, marks = found.groups()
+        if marks and marks not in self.marks:
+            self.marks[marks] = self._ids(marks).tobytes()
+        piece = letters.lower().encode().decode("latin-1").translate(_SHOWN)
+        ids = array(self.kind.char, [x.id for x in self.merges.tokenize(piece)]).tobytes()
+        return ids + self.marks[marks] if marks else ids
+
     def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        easy = [w for w in words if b"<|" not in w]
+        rest = []
+        for w in words:
+            ids = self._simple(w.decode())
+            if ids is None:
+                rest.append(w)
+            else:
+                into[w] = ids
+        easy = [w for w in rest if b"<|" not in w]
         for first in range(0, len(easy), 4096):
             part = easy[first : first + 4096]
             # The end token between words shows where each one's ids end.
@@ -63,27 +91,24 @@ class WordBpe:
             for w, stop in zip(part, [*np.flatnonzero(ids == self.end).tolist(), len(ids)], strict=True):
                 into[w] = raw[begin * size : stop * size]
                 begin = stop + 1
-        for w in words:
+        for w in rest:
             if b"<|" in w:
                 into[w] = self._ids(w.decode()).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
-        split = []
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        out = []
         for text in texts:
             raw = (text or "").encode()
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        need = set().union(*split) - self.known.keys()
-        if len(self.known) + len(need) > REMEMBERED // 2:
-            self.older, self.known = self.known, {}
-            need = set().union(*split)
-        fresh = []
-        for w in need:
-            ids = self.older.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                self.known[w] = ids
-        self._learn(fresh, self.known)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in split]
+            words = (raw if b"<|" in raw else raw.lower()).split()
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                need = {w for w, x in zip(words, ids, strict=True) if x is None}
+                older = {w: x for w in need if (x := self.older.get(w)) is not None}
+                self.known.update(older)
+                self._learn([w for w in need if w not in older], self.known)
+                ids = [self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out.append(np.frombuffer(b"".join(ids), self.kind))
+        return out
