@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from plinth.operators.lower import Context, SpillHook, lower
 from plinth.operators.result import Result
 from plinth.plans.binder import compile_sql
+from plinth.plans.builder import Query
 from plinth.plans.grammar import parse
 from plinth.plans.physical import AUTO, Options, Plan
+from plinth.plans.statement import Select
 from plinth.sources.catalog import Catalog
 from plinth.sources.store import Store
 from plinth.sources.tables import Table, ordered_parquet
@@ -63,6 +65,10 @@ class Engine:
     def execute_plan(self, plan: Plan) -> Result:
         return lower(plan, self._context)
 
+    def table(self, name: str) -> Query:
+        """A statement over a table, to be built by calls."""
+        return Query(self, Select(None, name))
+
     def sql(self, sql: str, **more: object) -> DataFrame:
         return self.execute_sql(sql, **more).df
 

@@ -17,12 +17,18 @@ MOST_KEYS = 32
 @dataclass(frozen=True)
 class Options:
     """parallelism: partitions of results (-1: as planned, 0: one); spill_threshold: groups in a batch from which the metrics hook hears of it;
-    nan_first: order NaN below all numbers; wrap_overflow: integer sums wrap instead of failing."""
+    nan_first: order NaN below all numbers; wrap_overflow: integer sums wrap instead of failing;
+    scheduler: "static" or "channel", how batches reach workers elsewhere; Spark's scheduler gives the same rows for both."""
 
     parallelism: int = -1
     spill_threshold: int | None = None
     nan_first: bool = False
     wrap_overflow: bool = False
+    scheduler: str = "static"
+
+    def __post_init__(self) -> None:
+        if self.scheduler not in ("static", "channel"):
+            raise SqlCompileError(f"unknown scheduler {self.scheduler}")
 
 
 @dataclass(frozen=True)

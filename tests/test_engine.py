@@ -240,3 +240,17 @@ def test_a_million_rows(spark):
     e = Engine(spark)
     e.register("wide", spark.range(1 << 20).selectExpr("CAST(id % 10 AS INT) AS bucket", "id AS payload"))
     assert e.execute_sql("SELECT COUNT(*) FROM wide WHERE bucket >= 2 AND bucket <= 3").value() == 209716
+
+
+def test_statements_by_calls(spark):
+    e = make(spark, L=LEFT, R=RIGHT)
+    assert e.table("L").where("qty", ">=", 1).select("id", "L.tag").order_by("id", descending=True).limit(1).run().rows() == [(2, "west")]
+    assert e.table("R").group_by("tag").aggregate(("sum", "amt"), "tag", ("COUNT", None)).run().rows() == [(10, "east", 1), (25, "west", 2), (9, None, 1)]
+    assert sorted(e.table("L").join("R", ("id", "id"), ("tag", "tag")).select("L.qty", "R.amt").run(algorithm=MERGE).rows()) == [(1, 10), (5, 5)]
+    assert e.table("L").aggregate(("COUNT", None)).run(options=Options(scheduler="channel")).value() == 3 and len(e.table("L").run().rows()) == 3
+    assert e.table("L").where("id", "=", 1).compile() == e.compile("SELECT * FROM L WHERE id = 1")
+    q = e.table("L")
+    for bad in (lambda: q.where("id", "~", 1), lambda: q.where("id", "=", None), lambda: q.where("id", "=", "x").run(), lambda: q.aggregate(("SUM", None)), lambda: q.aggregate(("AVG", "id")), lambda: q.select("nosuch").run(), lambda: q.join("R"), lambda: q.limit(0).run(),
+                lambda: q.aggregate("id", ("COUNT", None)).run(), lambda: q.group_by("id").run(), lambda: q.join("R", ("id", "id")).aggregate(("COUNT", None)).run(), lambda: e.table("nosuch").run(), lambda: Options(scheduler="x")):
+        with pytest.raises(SqlCompileError):
+            bad()
