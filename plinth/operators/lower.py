@@ -143,9 +143,10 @@ def _tell(source: Input, g: Grouping, threshold: int, hook: SpillHook) -> None:
     """One line for each batch that has at least `threshold` groups; the result doesn't depend on it."""
     text = any(source.table.schema[k].type is ColumnType.UTF8 for k in g.keys)
     keys = F.struct(*(F.col(source.name(k)) for k in g.keys))
-    many = source.df.groupBy(f"c{BATCH}").agg(F.count_distinct(keys).alias("n")).filter(F.col("n") >= threshold).orderBy(f"c{BATCH}")
-    for i, row in enumerate(many.toLocalIterator()):
-        hook(json.dumps({"op": "hash_agg_partial_utf8" if text else "hash_agg_partial", "batch": int(row[0]) if row[0].isdigit() else i, "entries": row["n"]}))
+    batch = F.substring_index(f"c{BATCH}", "|", 1).cast("int").alias("batch")
+    many = source.df.groupBy(batch).agg(F.count_distinct(keys).alias("n")).filter(F.col("n") >= threshold).orderBy("batch")
+    for row in many.toLocalIterator():
+        hook(json.dumps({"op": "hash_agg_partial_utf8" if text else "hash_agg_partial", "batch": row["batch"], "entries": row["n"]}))
 
 
 @lower.register

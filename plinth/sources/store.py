@@ -1,7 +1,7 @@
 """Durable tables: a folder with catalog.json and a Parquet segment for each batch.
 
-    <folder>/catalog.json                        names, ids and columns
-    <folder>/tables/<id>/000000.parquet ...      batches in order
+    <folder>/catalog.json                                    names, ids and columns
+    <folder>/tables/<id>/000000.parquet/part-00000-...       batches in order, files of a batch in order
 
 Segments and the catalog are written beside their place and renamed into it, so a
 reader sees a batch wholly or not at all.  A table's segments are written before
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plinth.errors import CatalogError, FormatError
 from plinth.sources.catalog import Catalog
-from plinth.sources.tables import ROW, Table, ordered_parquet
+from plinth.sources.tables import BATCH, ROW, Table, ordered_parquet
 from plinth.types import Column, ColumnType, Schema
 
 CATALOG, TABLES, VERSION = "catalog.json", "tables", 1
@@ -44,19 +44,19 @@ def _write_catalog(folder: str, catalog: Catalog) -> None:
     os.replace(f"{path}.tmp", path)
 
 
-def _write_segment(folder: str, index: int, batch: DataFrame) -> str:
-    """One Parquet file of a batch in the order of its rows."""
+def _write_segment(folder: str, index: int, batch: DataFrame, placed: bool) -> str:
+    """The files of a batch, as many as Spark has partitions, in the order of its rows.
+
+    placed: its rows have places of their own, by which they are sorted; otherwise
+    they are in order as partitions and rows come.
+    """
     os.makedirs(folder, exist_ok=True)
     work = os.path.join(folder, f".{uuid.uuid4().hex}")
-    columns = [c for c in batch.columns if not c.startswith("__")]
+    columns = [c for c in batch.columns if c not in (BATCH, ROW)]
     try:
-        # A segment is one file, as large as the batch that was appended: rows are ordered within a single task.
-        batch.coalesce(1).sortWithinPartitions(ROW).select(*(F.col(f"`{c}`") for c in columns)).write.parquet(work)
-        (written,) = glob.glob(os.path.join(work, "part-*.parquet")) or (None,)
-        if written is None:
-            raise FormatError("the batch left no file")
+        (batch.orderBy(BATCH, ROW) if placed else batch).select(*(F.col(f"`{c}`") for c in columns)).write.parquet(work)
         path = os.path.join(folder, f"{index:06d}.parquet")
-        os.replace(written, path)
+        os.replace(work, path)
         return path
     finally:
         shutil.rmtree(work, ignore_errors=True)
@@ -91,9 +91,9 @@ class Store:
             table.hook = self._persist
 
     def _persist(self, table: Table, index: int, batch: DataFrame) -> None:
-        path = _write_segment(os.path.join(self.folder, TABLES, table.id.hex), index, batch)
+        path = _write_segment(os.path.join(self.folder, TABLES, table.id.hex), index, batch, table.is_placed(index))
         # From now on the batch is read from its segment, not made again.
-        table._batches[index] = ordered_parquet(self.spark, path, table.schema.to_spark(), f"{index:06d}")
+        table.replace_batch(index, ordered_parquet(self.spark, path, table.schema.to_spark(), f"{index:06d}"))
 
     def create(self, name: str, schema: Schema, table_id: uuid.UUID | None = None, strict: bool = False) -> Table:
         if any(c.type is ColumnType.OPAQUE for c in schema):
@@ -115,7 +115,7 @@ def export_snapshot(catalog: Catalog, folder: str) -> None:
         for table in catalog:
             os.makedirs(os.path.join(fresh, table.id.hex))
             for i, batch in enumerate(table.batches):
-                _write_segment(os.path.join(fresh, table.id.hex), i, batch)
+                _write_segment(os.path.join(fresh, table.id.hex), i, batch, table.is_placed(i))
         place = os.path.join(folder, TABLES)
         shutil.rmtree(place, ignore_errors=True)
         os.replace(fresh, place)

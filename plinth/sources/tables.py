@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from plinth.errors import CatalogError
 from plinth.types import Schema
 
-#: Hidden columns: the batch of a row (its text order is the order of batches) and its place there.
+#: Hidden columns: the batch of a row (six digits, perhaps a bar and a file; their text order is the order of rows) and its place there.
 BATCH, ROW = "__batch", "__row"
 #: Rows that a strict table takes in a batch, besides none.
 STRICT_ROWS = (64 * 1024, 1024 * 1024)
@@ -26,7 +26,7 @@ def ordered_parquet(spark: SparkSession, paths: str | Sequence[str], schema: T.S
     """Parquet files with the hidden order columns: rows by file name, then by row in the file."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
-    label = F.lit(batch) if batch is not None else F.concat(F.lit("000000|"), F.col("_metadata.file_path"))
+    label = F.concat(F.lit(f"{batch or '000000'}|"), F.col("_metadata.file_path"))
     return df.select("*", label.alias(BATCH), F.col("_metadata.row_index").alias(ROW))
 
 
@@ -42,6 +42,7 @@ class Table:
         self.id = table_id or uuid.uuid4()
         self.version = 1
         self._batches: list[DataFrame] = []
+        self._own_places: list[bool] = []
         self._listeners: list[Callable[[Table, int], None]] = []
 
     @classmethod
@@ -64,6 +65,19 @@ class Table:
             return self.spark.createDataFrame([], T.StructType([*self.schema.to_spark().fields, T.StructField(BATCH, T.StringType()), T.StructField(ROW, T.LongType())]))
         return reduce(DataFrame.unionAll, self._batches)
 
+    def is_placed(self, index: int) -> bool:
+        """Whether a batch came with places of its rows, so that these and not its partitions order it."""
+        return self._own_places[index]
+
+    def replace_batch(self, index: int, df: DataFrame) -> None:
+        """The same rows from elsewhere."""
+        self._batches[index], self._own_places[index] = df, True
+
+    def _add(self, df: DataFrame) -> DataFrame:
+        self._own_places.append({BATCH, ROW} <= set(df.columns))
+        self._batches.append(self._placed(df, len(self._batches)))
+        return self._batches[-1]
+
     def _placed(self, df: DataFrame, index: int) -> DataFrame:
         columns = [F.col(f"`{c.name}`") for c in self.schema]
         if {BATCH, ROW} <= set(df.columns):
@@ -81,7 +95,7 @@ class Table:
     def adopt(self, df: DataFrame) -> None:
         """Adds rows that are stored already, without the hook."""
         self._check(df)
-        self._batches.append(self._placed(df, len(self._batches)))
+        self._add(df)
 
     def append(self, rows: DataFrame | Sequence[Sequence]) -> None:
         """Adds a batch: a DataFrame or local rows of the schema's types."""
@@ -98,13 +112,13 @@ class Table:
         self._check(rows)
         if self.strict and (n := rows.count()) and not STRICT_ROWS[0] <= n <= STRICT_ROWS[1]:
             raise CatalogError(f"a strict table takes no row or {STRICT_ROWS[0]} to {STRICT_ROWS[1]} in a batch, not {n}")
-        batch = self._placed(rows, index)
-        self._batches.append(batch)
+        batch = self._add(rows)
         if self.hook:
             try:
                 self.hook(self, index, batch)
             except BaseException:
                 self._batches.pop()
+                self._own_places.pop()
                 raise
 
     def on_version(self, listener: Callable[[Table, int], None]) -> None:

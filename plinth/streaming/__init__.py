@@ -18,7 +18,7 @@ def follow(store: Store, name: str, max_files: int = 64) -> DataFrame:
     table = store.catalog[name]
     folder = os.path.join(store.folder, TABLES, table.id.hex)
     os.makedirs(folder, exist_ok=True)
-    return store.spark.readStream.schema(table.schema.to_spark()).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "[0-9]*.parquet").parquet(folder)
+    return store.spark.readStream.schema(table.schema.to_spark()).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").parquet(folder)
 
 
 def apply(plan: ScanPlan | GroupPlan, store: Store) -> DataFrame:

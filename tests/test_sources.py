@@ -30,6 +30,19 @@ def test_tables_outlive_their_engine(spark, tmp_path):
     assert len(Store(spark, str(tmp_path / "nosuch")).catalog) == 0
 
 
+def test_large_batches_keep_their_order(spark, tmp_path):
+    e = Engine.open(spark, str(tmp_path / "db"))
+    table = e.create_table("t", [("id", ColumnType.INT64)])
+    table.append(spark.range(1000, numPartitions=4))
+    (segment,) = (tmp_path / "db" / "tables" / table.id.hex).glob("*.parquet")
+    assert len(list(segment.glob("part-*.parquet"))) == 4
+    again = Engine.open(spark, str(tmp_path / "db"))
+    assert [r[0] for r in again.sql("SELECT id FROM t LIMIT 600").collect()] == list(range(600))
+    export_snapshot(again.catalog, str(tmp_path / "copy"))
+    copied = Engine(spark, import_snapshot(spark, str(tmp_path / "copy")))
+    assert [r[0] for r in copied.sql("SELECT id FROM t LIMIT 600").collect()] == list(range(600))
+
+
 def test_a_failing_hook_takes_the_batch_back(spark):
     table = Engine(spark).create_table("t", [("x", ColumnType.INT32)])
 
