@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="plinth-checkpoint-")
         sc.setCheckpointDir(folder)
