@@ -11,11 +11,11 @@ from plinth.llm.common import cut
 def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
     """Every node hands its least neighbour (or itself) to its larger or smaller neighbours.
 
-    Least neighbours are an aggregate that is joined back, so a node with very
-    many links is rows of a join that can be split, never a list.
+    Least neighbours are an aggregate that is written and joined back, so a node
+    with very many links is rows of a join that can be split, never a list.
     """
     seen = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else links
-    least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut(seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     joined = seen.join(least, "a")
     if both_ways:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -39,4 +39,4 @@ def components(links: DataFrame) -> DataFrame:
         if not now[0] or now == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = now
-        links = cut(_stars(_stars(links, True), False))
+        links = cut(_stars(cut(_stars(links, True)), False))

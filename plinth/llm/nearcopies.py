@@ -175,15 +175,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = cut(signatures(docs))
     some = signed.filter("n_shingles > 0")
     key = ["s1", "s2", "n_shingles"]
-    members = some.join(some.groupBy(*key).agg(F.min("doc_id").alias("class")), key)
+    # Aggregates are written before they are joined: a join of two plain exchanges can be split where a set, a band or a
+    # document has very many rows, one with an aggregate in between can't.
+    members = some.join(cut(some.groupBy(*key).agg(F.min("doc_id").alias("class"))), key)
     packed = [f"p{i}" for i in range(PACKED)]
     classes = members.filter("doc_id = class")
     # Buckets with several classes; the pivot is the class that meets most others in all its buckets.
     banded = classes.select("class", F.explode("bands").alias("band"))
-    shared = cut(banded.join(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band"))
+    shared = cut(banded.join(cut(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")), "band"))
     degree = shared.groupBy("class").agg(F.sum("size").alias("degree"))
     buckets = cut(shared.select("band", "class").join(degree, "class"))
-    pivots = buckets.groupBy("band").agg(F.max_by("class", F.struct("degree", -F.col("class"))).alias("pivot"))
+    pivots = cut(buckets.groupBy("band").agg(F.max_by("class", F.struct("degree", -F.col("class"))).alias("pivot")))
     stats = cut(classes.select("class", "n_shingles", "bands", *packed).join(degree.select("class"), "class", "left_semi"))
     texts = cut(compressed(docs).join(degree.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
 
@@ -196,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # What could still join two components.
     placed = buckets.select("band", "class").join(found, F.col("class") == F.col("node"), "left").select("band", "class", F.coalesce("component", "class").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
+    split = cut(placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"))
     # Two sets differ at least in: the shingles that nothing else has; what more of their other shingles outside
     # of the pivot's set one of them has; and how many more of the pivot's one of them misses.
     against = tried.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "shared", (F.col("size") - F.col("shared")).alias("miss"))
