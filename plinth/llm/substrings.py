@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.arrays import Words, byte_view, full, mix, slices, windows
+from plinth.llm.common import cut
 
 #: Perfect difference sets: every difference modulo the period occurs.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -104,7 +105,8 @@ def _with_copies(docs: DataFrame) -> DataFrame:
     """
     digest = lambda: F.unhex(F.md5("text"))
     named = docs.select("doc_id", digest().alias("m")).filter("m is not null")
-    classes = named.groupBy("m").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    # Written before it is joined: then rows of a text that very many documents have can be dealt to several tasks.
+    classes = cut(named.groupBy("m").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1"))
     found = named.join(classes, "m").groupBy("doc_id").agg(F.collect_set("m").alias("ms"), F.collect_set(F.when(F.col("doc_id") == F.col("least"), F.col("m"))).alias("firsts"))
     has = lambda c: F.coalesce(F.array_contains(c, digest()), F.lit(False))
     return docs.join(found, "doc_id", "left").select("doc_id", "text", has("ms").alias("copy"), has("firsts").alias("first"))
