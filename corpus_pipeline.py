@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import language, mixing, nearcopies, packing, personal
-from plinth.llm.common import stored, table
+from plinth.llm.common import bounded_batches, stored, table
 
 #: Least posterior of the predicted language.
 LEAST_SCORE = 0.5
@@ -41,13 +43,16 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("personal_data", personal_data),
-    ("source_mixing", source_mixing),
-    ("sequence_packing", sequence_packing),
-]
+def _bounded(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(stage.__name__, _bounded(stage)) for stage in (language_id, near_dedup, personal_data, source_mixing, sequence_packing)]
 
 #: Models, hashes and merges of byte pairs are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -46,6 +46,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """Lets the session hand texts to Python in batches of at most `limit`, unless it has a limit of its own.
+
+    Rows of documents are large; batches of Spark's default size are held several
+    times over by an executor and its workers.
+    """
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) in (default, "64m", "64MB"):
+        spark.conf.set(key, limit)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
