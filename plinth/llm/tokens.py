@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Words whose ids a worker remembers, besides those of the texts in hand.
-REMEMBERED = 1_600_000
+REMEMBERED = 400_000
 
 #: Letters that lower case, normal form and the splitter leave in one piece, and marks that are another.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
