@@ -11,7 +11,8 @@ source characters that it came from:
    whole address is spelled with them.
 
 The same patterns run over what is written, and a match is mapped back through the
-spans.  Texts without any sign of a disguise skip all of this.
+spans.  Each step names something that a text must have for the step to change it; a
+text with none of these skips all of this.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "ϲ": "c", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "․": ".", "。": ".", "｡": ".", "·": ".",
+    "ı": "i", "İ": "I", "ɑ": "a", "ɡ": "g", "ɩ": "i", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "․": ".", "。": ".", "｡": ".", "·": ".",
 }
 #: Characters without any width of their own.
 INVISIBLE = "­͏᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
@@ -75,7 +76,14 @@ _MARKUP = re.compile(r"&(?:#64|#x40|commat);|%40|&(?:#46|#x2e|period);", re.I)
 #: Letters among digits that stand for digits, in runs with digits enough.
 _MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ ().-]{0,2}[0-9OoIl]){7,}(?![A-Za-z0-9])")
 _LETTER_DIGITS = str.maketrans("OoIl", "0011")
-_DISGUISE = re.compile(rf"[^\x00-ɏ‘-‟…]|[­·]|[\[({{<]\s?(?:at|dot|@|\.|arroba|punkt|point|punto)\s?[\])}}>]|\s@|@\s|\s(?:dot|punto|punkt)\s|@\S+\s\.\s|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,()-]{{0,3}}){{3}}|(?<!\w)plus[ -]?[0-9(]|&(?:#|commat|period)|%40|[0-9][ -]?[OoIl](?![A-Za-z])|(?<![A-Za-z])[OoIl][ -]?[0-9]", re.I)
+#: A spelled digit's end; searched for in lower case, where no look-alikes are left.
+_SOME = re.compile(rf"(?:{_WORD})\b")
+#: Words before "at" that name no mailbox, as in "look at example.com".
+BEFORE_AT = frozenset(
+    "a also an and are arrive arrived at available be been buy come directly do down find for found free get go good had has have he help her here him home hosted in is it just learn listed "
+    "located look looked looking looks me meet met more not now of on one only or over page posted published read see seen sent she stay staying that the them there these they this those us view "
+    "visit was watch we were worked working works write you".split()
+)
 
 Span = tuple[int, int]
 
@@ -198,16 +206,40 @@ def _digits(run: Written) -> None:
         run.text = run.text.translate(_LETTER_DIGITS)
 
 
+def _prose(text: str) -> bool:
+    """Whether a match of _BARE whose only disguise is "at" reads as a sentence: "look at example.com", "opened at 9.30", "stay at home.Then"."""
+    name, _, host = re.split(r"\s(at)\s", text, maxsplit=1, flags=re.I) if len(_BARE_SIGN.findall(text)) == 1 and re.search(r"\sat\s", text, re.I) else ("", "", "")
+    last = host.rpartition(".")[2]
+    return bool(host) and (name.lower() in BEFORE_AT or not last.isalpha() or host[0].islower() and last[0].isupper() and not last.isupper())
+
+
+def _bare(run: Written) -> None:
+    if not _prose(run.text):
+        run.rewrite(_BARE_SIGN, lambda m: "@" if m.group(1).lower() in ("at", "arroba") else ".")
+
+
+def _bracket(text: str) -> bool:
+    return "(" in text or "[" in text or "{" in text or "<" in text
+
+
+#: The steps in turn, each after what a text must have for it to change anything.
+_STEPS: list[tuple[Callable[[str], object], Callable[[Written], None]]] = [
+    (lambda t: not t.isascii() and any(_plain(c) != c for c in set(t) if c > "\x7f"), lambda out: out.rewrite(_OTHER, lambda m: _plain(m.group()))),
+    (lambda t: "&" in t or "%40" in t, lambda out: out.rewrite(_MARKUP, lambda m: _SIGNS[m.group().lower()])),
+    (lambda t: sum(map(t.count, "0123456789")) >= DIGITS, lambda out: out.inside(_MIXED, _digits)),
+    (lambda t: len(_SOME.findall(t.lower())) >= SPELLED, lambda out: out.inside(_SPELLED, _spell)),
+    (lambda t: "plus" in t.lower(), lambda out: out.rewrite(_PLUS, lambda m: "+")),
+    (lambda t: "@" in t or _bracket(t), lambda out: out.rewrite(_AT, lambda m: "@")),
+    (_bracket, lambda out: out.rewrite(_DOT, lambda m: ".")),
+    (_BARE_SIGN.search, lambda out: out.inside(_BARE, _bare)),
+]
+
+
 def normalised(text: str) -> Written:
     out = Written(text)
-    out.rewrite(_OTHER, lambda m: _plain(m.group()))
-    out.rewrite(_MARKUP, lambda m: _SIGNS[m.group().lower()])
-    out.inside(_MIXED, _digits)
-    out.inside(_SPELLED, _spell)
-    out.rewrite(_PLUS, lambda m: "+")
-    out.rewrite(_AT, lambda m: "@")
-    out.rewrite(_DOT, lambda m: ".")
-    out.inside(_BARE, lambda run: run.rewrite(_BARE_SIGN, lambda m: "@" if m.group(1).lower() in ("at", "arroba") else "."))
+    for needs, step in _STEPS:
+        if needs(out.text):
+            step(out)
     return out
 
 
@@ -217,7 +249,8 @@ def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Sp
     One that overlaps base spans of its kind counts only if it is wider than each of them.
     """
     none: dict[str, list[Span]] = {k: [] for k in KINDS}
-    if not _DISGUISE.search(text):
+    # Where no step changes the source, none sees anything else.
+    if not any(needs(text) for needs, _ in _STEPS):
         return none
     written = normalised(text)
     if written.text == text:

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from plinth.llm import personal
 from plinth.llm.personal import KINDS, base_spans, detect, find, mask, masked, normalised
 from tests.llm.support import corpus, frame
 
@@ -57,6 +58,31 @@ def test_clean_texts_stay(text):
     assert base == every == plain(text)
 
 
+UNGATED = [
+    ("email", "write to ", "jane at example.com", " today"), ("email", "", "juan arroba correo.es", ""), ("card", "", "4111\u00a01111\u00a01111\u00a01111", "."), ("phone", "", "+1\u00a0(736)\u00a0555\u00a02678", ""), ("phone", "", "+1 736 555 26²³", ""),
+    ("ip", "", "five dot five dot five dot five", ""), ("email", "", "joªn@example.com", ""), ("ip", "", "1\u20242\u20243\u20244", ""), ("phone", "", "plus fİve five five five five five five five", ""), ]
+
+
+@pytest.mark.parametrize("kind, before, what, after", UNGATED)
+def test_disguises_in_otherwise_plain_texts(kind, before, what, after):
+    assert (len(before), len(before) + len(what)) in find(before + what + after)[1][kind]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "visit us at www.example.com now", "it opened at 9.30 today", "stay at home.Then go", "look at example.com — now"])
+def test_at_in_sentences_is_no_address(text):
+    assert find(text)[1]["email"] == []
+
+
+def test_what_steps_need_decides_nothing(monkeypatch):
+    rng = random.Random(8)
+    signs = [*"ab1289.@+-% ()[]{}<>éOoIl,&\n", "\u00a0", "²", "ª", "…", "İ", "–", "·", "\u00ad", "а", "٣", "１", " at ", " AT ", " arroba ", " dot ", " punkt ", " . ", "(at)", "[dot]", "plus ", "Plus-", "&#64;", "%40", "&period;", "jane", "example.com", "555", "4111 1111", "five ", "Six-", "vier, ", "cinq dot ", "uno ", "zéro", "ZÉRO "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 24))) for _ in range(30000)]
+    gated = [find(t) for t in texts]
+    monkeypatch.setattr(personal, "_STEPS", [(lambda t: True, step) for _, step in personal._STEPS])
+    assert gated == [find(t) for t in texts]
+    assert sum(every != base for base, every in gated) > 100
+
+
 def test_written_characters_know_their_source():
     text = "ａ​b (at) c [dot] d five five five five"
     out = normalised(text)
