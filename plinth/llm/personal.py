@@ -51,12 +51,14 @@ INVISIBLE = "­͏᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 #: Spelled digits in the corpus's languages (fixed values).
 DIGIT_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
-    "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
-    "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 #: Spelled digits that a run needs; fewer are words of a sentence beside a number.
 SPELLED = 3
+#: Also the word for no value in data and code: it counts as a digit beside others, but not towards SPELLED.
+NO_VALUE = "null"
 #: Real digits that a run needs before its letters count as digits.
 DIGITS = 6
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -195,7 +197,7 @@ _OTHER = re.compile(r"[^\x00-\x7f]")
 
 
 def _spell(run: Written) -> None:
-    if len(_ONE.findall(run.text)) < SPELLED:
+    if sum(w.lower() != NO_VALUE for w in _ONE.findall(run.text)) < SPELLED:
         return
     run.rewrite(_ONE, lambda m: DIGIT_WORDS[m.group().lower()])
     run.rewrite(_STOP, lambda m: "" if m.group().strip(" ,()-") == "" else ".")

@@ -73,6 +73,28 @@ def test_at_in_sentences_is_no_address(text):
     assert find(text)[1]["email"] == []
 
 
+TEN = {
+    "en": "zero one two three four five six seven eight nine", "de": "null eins zwei drei vier fünf sechs sieben acht neun", "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+
+
+@pytest.mark.parametrize("language", TEN)
+def test_all_ten_digits_spelled(language):
+    spell = lambda digits: " ".join(TEN[language].split()[int(c)] for c in digits)
+    point = {"en": "dot", "de": "punkt", "fr": "point", "es": "punto"}[language]
+    card = next(c for x in range(10) if luhn(c := f"987654321098765{x}"))
+    for kind, what in (("phone", "plus " + spell("1234567890")), ("card", spell(card)), ("ip", f" {point} ".join(map(spell, ("10", "234", "56", "178"))))):
+        assert (2, 2 + len(what)) in find(f": {what}.")[1][kind]
+        assert (2, 2 + len(what)) in find(f": {what.upper()}.")[1][kind]
+
+
+def test_other_forms_of_digits_and_of_null():
+    for what in ("plus vier neun eins sieben zwo zwo null acht null", "plus trois trois une un une deux une cinq"):
+        assert masked(f"ruf {what} an") == "ruf <PHONE> an"
+    for text in ("[" + ", ".join(["null"] * 16) + "]", "null null null null punkt null", "un jour, une nuit, un an", "(null, null, 4111, null, null, 1111)"):
+        assert masked(text) == text
+
+
 def test_what_steps_need_decides_nothing(monkeypatch):
     rng = random.Random(8)
     signs = [*"ab1289.@+-% ()[]{}<>éOoIl,&\n", "\u00a0", "²", "ª", "…", "İ", "–", "·", "\u00ad", "а", "٣", "１", " at ", " AT ", " arroba ", " dot ", " punkt ", " . ", "(at)", "[dot]", "plus ", "Plus-", "&#64;", "%40", "&period;", "jane", "example.com", "555", "4111 1111", "five ", "Six-", "vier, ", "cinq dot ", "uno ", "zéro", "ZÉRO "]
