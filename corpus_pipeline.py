@@ -9,17 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import language, mixing, nearcopies, packing, personal
-from plinth.llm.common import bounded_batches, stored, table
+from plinth.llm.common import bounded_batches, cut, stored, table
 
 #: Least posterior of the predicted language.
 LEAST_SCORE = 0.5
+#: Share of the labelled rows predicted as a language that may fit it worse than all others, and how far below these the limit is.
+OUTSIDE, SLACK = 0.001, 1.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is in a language that the labelled rows teach; texts that are null or have no letters go."""
+    """Rows whose text is in a language that the labelled rows teach; texts that are null, have no letters or fit no taught language go.
+
+    The limit of the fit to a language is set by all labelled rows that are predicted
+    as it, whatever their label; without any there is none.
+    """
     model = language.train(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out()))
+    out = ("__language", "__score", "__fit")
+    least = cut(language.least_fit(language.predict(docs.filter("lang is not null"), model, ["lang"], out), "lang", "__language", "__fit", OUTSIDE))
+    fits = F.col("__least").isNull() | (F.col("__fit") >= F.col("__least") - SLACK)
     known = (F.col("__language") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)
-    return language.predict(docs, model, out=("__language", "__score")).filter(known).select(*docs.columns)
+    return language.predict(docs, model, out=out).filter(known).join(F.broadcast(least.withColumnRenamed("least", "__least")), "__language", "left").filter(fits).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -68,11 +68,19 @@ class Model:
         self.languages = languages
         self.weights = np.log((counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * counts.shape[1])).astype(np.float32)
         self.priors = np.log((documents + 1) / (documents.sum() + len(languages)))
+        #: Mean log-probability of the n-grams that each language was counted from, smoothing included.
+        self.usual = (np.exp(self.weights, dtype=np.float64) * self.weights).sum(axis=1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its posterior, with evidence counted for at most EVIDENCE n-grams."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The likeliest language of each text, its posterior, with evidence counted for at most EVIDENCE n-grams, and its fit.
+
+        The fit is how far the mean log-probability of the text's n-grams in that
+        language is above the usual one, times the root of their number (EVIDENCE at
+        most): short texts stray more.  Unlike the posterior it is low for languages
+        that weren't learned.
+        """
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         found, first, some = ngrams(texts, self.weights.shape[1])
         total = np.zeros((len(self.languages), len(texts)))
         rows, sizes = np.flatnonzero(some), np.diff(first)[some]
@@ -83,9 +91,11 @@ class Model:
         level = np.zeros_like(total)
         level[:, rows] = total[:, rows] / sizes * np.minimum(sizes, EVIDENCE)
         level += self.priors[:, None]
+        fit = np.zeros(len(texts))
+        fit[rows] = (total[best[rows], rows] / sizes - self.usual[best[rows]]) * np.sqrt(np.minimum(sizes, EVIDENCE))
         odds = np.exp(level - level.max(axis=0))
         score = odds[best, np.arange(len(texts))] / odds.sum(axis=0)
-        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist()
+        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist(), fit.tolist()
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -143,11 +153,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, out: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """Columns `keep` of docs (all) with lang_pred and score (0 to 1) from each row's whole text; `und` and 0 for a null text or one without letters.
 
-    out: names of the two new columns; columns of docs with these names are
-    replaced.  With a model of no languages every answer is `und`.
+    out: names of the two new columns, perhaps of a third one for the fit; columns
+    of docs with these names are replaced.  With a model of no languages every answer is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
@@ -156,11 +166,20 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, out: t
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                languages, scores = shared.value.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *out])
+                languages, *scores = shared.value.predict(part.column("text").to_pylist())
+                new = [pa.array(languages, pa.string()), *(pa.array(x, pa.float64()) for x in scores)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new[: len(out)]], names=[*keep, *out])
 
     fields = [docs.schema[c] for c in keep]
-    return docs.mapInArrow(score, StructType([*fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())]))
+    return docs.mapInArrow(score, StructType([*fields, StructField(out[0], StringType()), *(StructField(c, DoubleType()) for c in out[1:])]))
+
+
+def least_fit(predicted: DataFrame, label: str, language: str, fit: str, share: float) -> DataFrame:
+    """Columns `language` and least: by predicted language, the fit (in eighths, rounded down) that at most `share` of the rows with any label are below."""
+    labelled = predicted.filter(F.col(label).isNotNull()).groupBy(F.col(language), F.floor(F.col(fit) * 8).alias("eighths")).agg(F.count("*").alias("n"))
+    each = Window.partitionBy(language)
+    low = labelled.withColumns({"below": F.sum("n").over(each.orderBy("eighths")), "all": F.sum("n").over(each)}).filter(F.col("below") > share * F.col("all"))
+    return low.groupBy(language).agg((F.min("eighths") / 8).alias("least"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -40,6 +40,28 @@ def test_stages(spark):
         assert tokens[i] == copies[i] * (len(library.encode(text[i], add_special_tokens=False).ids) + 1)
 
 
+UNTAUGHT = [
+    "今天天气很好，我们一起去公园散步，然后在湖边喝茶聊天。", "Сегодня хорошая погода, и мы пошли гулять в парк возле большого озера.", "الطقس جميل اليوم وسوف نذهب إلى الحديقة مع الأصدقاء", "Oggi il tempo è bello e andiamo a passeggiare nel parco con gli amici.",
+    "Dzisiaj jest ładna pogoda i idziemy na spacer do parku z przyjaciółmi.", "bcdfg hjklm npqrs tvwxz kcjhq wzxvb ptkdf gqmnr", "Привет, мир",
+]
+
+
+def test_untaught_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(10**9 + 100 * i + n, " ".join([t] * n), None, "s", None) for i, t in enumerate(UNTAUGHT) for n in (1, 3, 40)], docs.schema)
+    kept = [r[0] for r in corpus_pipeline.language_id(spark, docs.unionByName(odd), "").select("doc_id").collect()]
+    assert max(kept) < 10**9
+    # At most OUTSIDE of the labelled rows, besides those that have no letters or no sure language, as before.
+    clear = language.predict(docs, language.train(docs.filter(~language.held_out()))).filter("lang_pred <> 'und' and score >= 0.5").count()
+    assert clear - 2 <= len(kept) <= clear
+
+
+def test_least_fit(spark):
+    rows = [("a", "a", x / 8) for x in range(-2000, 0)] + [("b", "b", -1.01), ("b", "a", -900.0), ("a", "b", 3.0), (None, "b", -900.0)]
+    found = language.least_fit(spark.createDataFrame(rows, "lang string, p string, f double").repartition(3), "lang", "p", "f", 0.001)
+    assert {tuple(r) for r in found.collect()} == {("a", -1999 / 8), ("b", -1.125)}
+
+
 def test_an_empty_corpus(spark):
     docs = frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
