@@ -48,8 +48,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a training sequence."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+    """One row per piece of a document in a training sequence, with its tokens: a sequence is its pieces' ids by offset."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _bounded(stage):

@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import zlib
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -40,6 +42,18 @@ def test_stages(spark):
         assert tokens[i] == copies[i] * (len(library.encode(text[i], add_special_tokens=False).ids) + 1)
 
 
+def test_sequences_are_in_the_result(spark):
+    docs = frame(spark, [(i, t, n, s) for i, t, n, s in labelled(60)])
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    found = dict(corpus_pipeline.STAGES)["sequence_packing"](spark, docs, "").collect()
+    sequences, texts = collections.defaultdict(list), collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(sequences[r["sequence_id"]]) == r["offset"]
+        sequences[r["sequence_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+        texts[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    assert {i: [x for _, p in sorted(parts) for x in p] for i, parts in texts.items()} == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t, *_ in labelled(60)}
+
+
 UNTAUGHT = [
     "今天天气很好，我们一起去公园散步，然后在湖边喝茶聊天。", "Сегодня хорошая погода, и мы пошли гулять в парк возле большого озера.", "الطقس جميل اليوم وسوف نذهب إلى الحديقة مع الأصدقاء", "Oggi il tempo è bello e andiamo a passeggiare nel parco con gli amici.",
     "Dzisiaj jest ładna pogoda i idziemy na spacer do parku z przyjaciółmi.", "bcdfg hjklm npqrs tvwxz kcjhq wzxvb ptkdf gqmnr", "Привет, мир",
