@@ -8,20 +8,26 @@ source characters that it came from:
    letters become ASCII, invisible characters go;
 2. words: runs of spelled digits become digits, "plus" before a digit becomes +;
 3. signs: "(at)", "[dot]" and the like become @ and ., and the bare words do if a
-   whole address is spelled with them.
+   whole address or four numbers are joined by them.
 
 The same patterns run over what is written, and a match is mapped back through the
 spans.  Each step names something that a text must have for the step to change it; a
 text with none of these skips all of this.
+
+Every scan takes time in proportion to the text, whatever the text is: patterns begin
+only where their first run begins, repeat without giving back, or are tried only at
+the signs that they need.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,13 +35,15 @@ from plinth.llm.arrays import slices
 
 KINDS = ("email", "ip", "card", "phone")
 _PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
+    # A number is tried from its first digit only: from a later one the rest would be the same.
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: What follows a mailbox; the mailbox itself is read backwards from the sign.
+_HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 #: What a text must have for a pattern to be worth running.
-_NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+_NEEDS = {"ip": ".", "card": "", "phone": "+"}
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 
@@ -67,11 +75,17 @@ _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}|[0-9])(?:(?:[ ,()-]{{1,3}}|\ ?(?:\.|\
 _ONE = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
 _STOP = re.compile(r" ?\(?\b(?:dot|point|punkt|punto)\b\)? ?|[ ,()-]{1,3}(?=[0-9])", re.I)
 _PLUS = re.compile(r"(?<!\w)plus[ -]?(?=[0-9(])", re.I)
-_AT = re.compile(r"\s{0,2}(?:[\[({<]\s?(?:at|@|arroba)\s?[\])}>]|(?<=\s)@|@(?=\s))\s{0,2}", re.I)
+_AT = re.compile(r"\s{0,2}(?:[\[({<]\s?(?:at|@|arroba|arobase)\s?[\])}>]|(?<=\s)@|@(?=\s))\s{0,2}", re.I)
 _DOT = re.compile(r"\s{0,2}[\[({<]\s?(?:dot|\.|punkt|point|punto)\s?[\])}>]\s{0,2}", re.I)
-#: A whole address in bare words: someone at host dot domain (dot domain).
-_BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:(?:\sdot\s|\.)[A-Za-z0-9_%+-]+){0,4}(?:\s(?:at|arroba)\s|@)[A-Za-z0-9-]+(?:(?:\s(?:dot|punto|punkt|\.)\s|\.)[A-Za-z0-9-]+)+(?![\w-])", re.I)
-_BARE_SIGN = re.compile(r"\s(at|arroba|dot|punto|punkt|\.)\s", re.I)
+#: Words for a full stop between words; the French one is too common to count beside "at".
+_POINT, _ANY_POINT, _LABEL = r"\s(?:dot|punto|punkt|\.)\s", r"\s(?:dot|punto|punkt|point|\.)\s", "[A-Za-z0-9-]++"
+#: An address in bare words from its sign on: at host dot domain (dot domain).
+_BARE_HOST = re.compile(rf"(?:\s(?:at|arroba)\s{_LABEL}(?:(?:{_POINT}|\.){_LABEL})+|(?:\sarobase\s|@){_LABEL}(?:(?:{_ANY_POINT}|\.){_LABEL})+)(?![\w-])", re.I)
+#: A spelled full stop that ends where a run of a mailbox's name begins.
+_BEFORE_RUN = re.compile(r"\s(?:dot|punto|punkt)\s\Z", re.I)
+_BARE_SIGN = re.compile(r"\s(at|arroba|arobase|dot|punto|punkt|point|\.)\s", re.I)
+#: Four numbers joined by spelled or spaced full stops.
+_BARE_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:{_ANY_POINT}|\.)[0-9]{{1,3}}){{3}}(?!\w|\.[0-9])", re.I)
 #: Signs as markup writes them.
 _SIGNS = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
 _MARKUP = re.compile(r"&(?:#64|#x40|commat);|%40|&(?:#46|#x2e|period);", re.I)
@@ -101,15 +115,16 @@ def _luhn(digits: str) -> bool:
 def _sound(kind: str, found: str) -> bool:
     """What has to hold of a match besides its pattern."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in found.split(".")))
     digits = _NOT_DIGIT.sub("", found)
     if kind == "card":
         return 16 <= len(digits) <= 19 and _luhn(digits)
-    return kind == "email" or 8 <= len(digits) <= 15
+    return 8 <= len(digits) <= 15
 
 
-def _local_start(text: str, low: int, sign: int) -> int:
-    at = sign
+def _run_start(text: str, low: int, stop: int) -> int:
+    """Where the characters of a mailbox's name begin that end at `stop`, at `low` at the earliest."""
+    at = stop
     while at > low and text[at - 1].isascii() and (text[at - 1].isalnum() or text[at - 1] in "._%+-"):
         at -= 1
     return at
@@ -118,60 +133,61 @@ def _local_start(text: str, low: int, sign: int) -> int:
 def base_spans(text: str) -> dict[str, list[Span]]:
     """Leftmost non-overlapping matches of each kind that are sound; a match that isn't is dropped without a retry."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    digits = _DIGIT.search(text) is not None
-    for kind in KINDS:
-        if kind == "email":
-            done, sign = 0, text.find("@")
-            while sign >= 0:
-                start = _local_start(text, done, sign)
-                if start < sign and (m := _PATTERNS["email"].match(text, start)):
-                    out["email"].append(m.span())
-                    done = m.end()
-                sign = text.find("@", max(done, sign + 1))
-        elif digits and _NEEDS[kind] in text:
-            out[kind] = [m.span() for m in _PATTERNS[kind].finditer(text) if _sound(kind, m.group())]
+    done = 0
+    for m in _HOST.finditer(text):
+        start = _run_start(text, done, m.start())
+        if start < m.start():
+            out["email"].append((start, m.end()))
+            done = m.end()
+    if _DIGIT.search(text):
+        for kind, pattern in _PATTERNS.items():
+            if _NEEDS[kind] in text:
+                out[kind] = [m.span() for m in pattern.finditer(text) if _sound(kind, m.group())]
     return out
 
 
 class Written:
     """A rewritten text with the source span of each character."""
 
-    def __init__(self, text: str):
-        self.text, self.begins, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+    def __init__(self, text: str, begins: np.ndarray | None = None, ends: np.ndarray | None = None):
+        # Arrow's strings are shorter than 2 GB.
+        self.text, self.begins = text, np.arange(len(text), dtype=np.int32) if begins is None else begins
+        self.ends = self.begins + np.int32(1) if ends is None else ends
 
     def rewrite(self, pattern: re.Pattern, by: Callable[[re.Match], str]) -> None:
         """Replaces matches; each character written for one stands for all of its source."""
         parts, begins, ends, at = [], [], [], 0
         for m in pattern.finditer(self.text):
+            a, b = m.span()
             new = by(m)
-            parts += [self.text[at : m.start()], new]
-            begins += self.begins[at : m.start()]
-            ends += self.ends[at : m.start()]
-            if m.end() > m.start():
-                begins += [self.begins[m.start()]] * len(new)
-                ends += [self.ends[m.end() - 1]] * len(new)
-            at = m.end()
+            if new == m.group() and b - a <= 1:
+                continue
+            parts += [self.text[at:a], new]
+            begins.append(self.begins[at:a])
+            ends.append(self.ends[at:a])
+            if b > a and new:
+                begins.append(np.full(len(new), self.begins[a]))
+                ends.append(np.full(len(new), self.ends[b - 1]))
+            at = b
         if parts:
             self.text = "".join(parts) + self.text[at:]
-            self.begins, self.ends = begins + self.begins[at:], ends + self.ends[at:]
+            self.begins, self.ends = np.concatenate([*begins, self.begins[at:]]), np.concatenate([*ends, self.ends[at:]])
 
-    def inside(self, pattern: re.Pattern, change: Callable[[Written], None]) -> None:
-        """Lets `change` rewrite each match on its own."""
+    def inside(self, spans: Iterable[Span], change: Callable[[Written], None]) -> None:
+        """Lets `change` rewrite each span on its own; spans come in order."""
         parts: list[Written] = []
         at = 0
-        for m in pattern.finditer(self.text):
-            parts += [self.part(at, m.start()), inner := self.part(*m.span())]
+        for a, b in spans:
+            parts += [self.part(at, a), inner := self.part(a, b)]
             change(inner)
-            at = m.end()
+            at = b
         if parts:
             parts.append(self.part(at, len(self.text)))
             self.text = "".join(p.text for p in parts)
-            self.begins, self.ends = [b for p in parts for b in p.begins], [e for p in parts for e in p.ends]
+            self.begins, self.ends = np.concatenate([p.begins for p in parts]), np.concatenate([p.ends for p in parts])
 
     def part(self, start: int, stop: int) -> Written:
-        out = Written("")
-        out.text, out.begins, out.ends = self.text[start:stop], self.begins[start:stop], self.ends[start:stop]
-        return out
+        return Written(self.text[start:stop], self.begins[start:stop], self.ends[start:stop])
 
 
 _KNOWN: dict[str, str] = {}
@@ -215,9 +231,40 @@ def _prose(text: str) -> bool:
     return bool(host) and (name.lower() in BEFORE_AT or not last.isalpha() or host[0].islower() and last[0].isupper() and not last.isupper())
 
 
+def _name_start(text: str, low: int, stop: int) -> int:
+    """Where a mailbox's name begins that ends at `stop`, runs joined by any number of spelled full stops; `stop` if there is none."""
+    best = at = stop
+    while (start := _run_start(text, low, at)) < at:
+        if start == 0 or not (text[start - 1].isalnum() or text[start - 1] == "_"):
+            best = start
+        before = _BEFORE_RUN.search(text, max(low, start - 8), start)
+        if before is None:
+            break
+        at = before.start()
+    return best
+
+
+def _addresses(text: str) -> Iterator[Span]:
+    """Spans of whole addresses whose signs may be bare words."""
+    done = 0
+    for m in _BARE_HOST.finditer(text):
+        start = _name_start(text, done, m.start())
+        if start < m.start():
+            yield start, m.end()
+            done = m.end()
+
+
 def _bare(run: Written) -> None:
     if not _prose(run.text):
-        run.rewrite(_BARE_SIGN, lambda m: "@" if m.group(1).lower() in ("at", "arroba") else ".")
+        run.rewrite(_BARE_SIGN, lambda m: "@" if m.group(1).lower() in ("at", "arroba", "arobase") else ".")
+
+
+def _points(run: Written) -> None:
+    run.rewrite(_BARE_SIGN, lambda m: ".")
+
+
+def _spans(pattern: re.Pattern, text: str) -> Iterator[Span]:
+    return (m.span() for m in pattern.finditer(text))
 
 
 def _bracket(text: str) -> bool:
@@ -228,12 +275,13 @@ def _bracket(text: str) -> bool:
 _STEPS: list[tuple[Callable[[str], object], Callable[[Written], None]]] = [
     (lambda t: not t.isascii() and any(_plain(c) != c for c in set(t) if c > "\x7f"), lambda out: out.rewrite(_OTHER, lambda m: _plain(m.group()))),
     (lambda t: "&" in t or "%40" in t, lambda out: out.rewrite(_MARKUP, lambda m: _SIGNS[m.group().lower()])),
-    (lambda t: sum(map(t.count, "0123456789")) >= DIGITS, lambda out: out.inside(_MIXED, _digits)),
-    (lambda t: len(_SOME.findall(t.lower())) >= SPELLED, lambda out: out.inside(_SPELLED, _spell)),
+    (lambda t: sum(map(t.count, "0123456789")) >= DIGITS, lambda out: out.inside(_spans(_MIXED, out.text), _digits)),
+    (lambda t: len(_SOME.findall(t.lower())) >= SPELLED, lambda out: out.inside(_spans(_SPELLED, out.text), _spell)),
     (lambda t: "plus" in t.lower(), lambda out: out.rewrite(_PLUS, lambda m: "+")),
     (lambda t: "@" in t or _bracket(t), lambda out: out.rewrite(_AT, lambda m: "@")),
     (_bracket, lambda out: out.rewrite(_DOT, lambda m: ".")),
-    (_BARE_SIGN.search, lambda out: out.inside(_BARE, _bare)),
+    (lambda t: _BARE_SIGN.search(t) and _DIGIT.search(t), lambda out: out.inside(_spans(_BARE_IP, out.text), _points)),
+    (_BARE_SIGN.search, lambda out: out.inside(_addresses(out.text), _bare)),
 ]
 
 
@@ -259,10 +307,18 @@ def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Sp
         return none
     for kind, found in base_spans(written.text).items():
         taken = base[kind]
+        stops = [b for _, b in taken]
         for a, b in found:
-            start, stop = written.begins[a], written.ends[b - 1]
+            start, stop = int(written.begins[a]), int(written.ends[b - 1])
             # Unchanged text has no disguise: the base patterns have judged it.
-            if (start, stop) not in taken and text[start:stop] != written.text[a:b] and all(stop <= x or y <= start or start <= x and y <= stop for x, y in taken):
+            if text[start:stop] == written.text[a:b]:
+                continue
+            # Base spans don't overlap, so those that meet this one are neighbours.
+            i, wider = bisect.bisect_right(stops, start), True
+            while i < len(taken) and taken[i][0] < stop:
+                wider &= start <= taken[i][0] and taken[i][1] <= stop and taken[i] != (start, stop)
+                i += 1
+            if wider:
                 none[kind].append((start, stop))
     return none
 
