@@ -8,11 +8,16 @@ components picks one subset sum per group; these are added by carry-save adders,
 64 rows to a machine word and many queries to an operation.  The best rows are
 then taken from the most significant slice of the sums downward, and rows equal in
 all slices at the boundary are resolved by the smaller id.
+
+The index holds rows whose components leave room for every sum in a long.  Rows
+with a larger component are few in sound data; they are kept as they came, meet
+all queries with whole integers of any size, and so do queries of that kind.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +32,10 @@ from plinth.llm.common import cut, partitions
 BLOCK, QUERIES = 8192, 2048
 #: Components added up in one table of subset sums, and bytes of one group of running slices.
 GROUP, WORKING = 8, 1 << 18
-#: Greatest size of a quantised component; sums of products then fit in a long.
-LARGEST = 1 << 20
+#: Pairs of rows that are scored at once with whole integers.
+PAIRS = 1 << 16
+#: The scores that a long takes; one beyond counts as the nearest of these.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 Slices = list[np.ndarray]
 
@@ -147,21 +154,47 @@ class Block:
         return q, row, score + add[q]
 
 
-_PACKED = "ids binary, vals binary, width int, rows int"
+def sliced_limit(width: int) -> int:
+    """The greatest size of a component in the index: sums over `width` products, lifted to be non-negative, then fit in a long."""
+    return min(1 << 30, 1 << (59 - width.bit_length()) // 2)
+
+
+def _whole(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python's integers; beyond 2 ** 53 a double is an integer itself, so scaling can't overflow."""
+    return np.array([math.floor(x * scale) if abs(x) < 2.0**53 else int(x) * scale for x in values.ravel().tolist()], object).reshape(values.shape)
+
+
+def exact_top(queries: np.ndarray, rows: np.ndarray, asks: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's id, row's id, score) of each query's k best rows of another id, by whole integers; a tie goes to the smaller id."""
+    out: list[tuple[int, int, int]] = []
+    many = max(1, PAIRS // max(1, len(ids)))
+    least, most = LEAST, MOST
+    for a in range(0, len(asks), many):
+        points = queries[a : a + many].dot(rows.T)
+        for ask, of in zip(asks[a : a + many].tolist(), points, strict=True):
+            found = sorted((-min(most, max(least, p)), i) for p, i in zip(of.tolist(), ids.tolist(), strict=True) if i != ask)[:k]
+            out += [(ask, i, -p) for p, i in found]
+    columns = zip(*out, strict=True) if out else ((), (), ())
+    return tuple(np.array(c, np.int64) for c in columns)
+
+
+_PACKED = "ids binary, vals binary, width int, wide boolean"
 
 
-def _pack(limit: int):
-    """Rows (id, v) to packed blocks of at most `limit` rows of one width, by id within a block."""
+def _pack(limit: int, scale: int):
+    """Rows (id, v) to packed blocks of at most `limit` rows of one width, by id within a block.
+
+    vals are quantised (int32), or for rows with a component beyond sliced_limit the doubles that came.
+    """
+    schema = pa.schema([("ids", pa.binary()), ("vals", pa.binary()), ("width", pa.int32()), ("wide", pa.bool_())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def block(width: int) -> pa.RecordBatch:
-            ids, vals = (np.concatenate(x) for x in zip(*held.pop(width), strict=True))
-            if np.abs(vals).max(initial=0) > LARGEST:
-                raise ValueError(f"a quantised component exceeds {LARGEST}")
+        def block(kind: tuple[int, bool]) -> pa.RecordBatch:
+            ids, vals = (np.concatenate(x) for x in zip(*held.pop(kind), strict=True))
             order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_pylist([{"ids": ids[order].tobytes(), "vals": vals[order].astype(np.int32).tobytes(), "width": width, "rows": len(ids)}], pa.schema([("ids", pa.binary()), ("vals", pa.binary()), ("width", pa.int32()), ("rows", pa.int32())]))
+            return pa.RecordBatch.from_pylist([{"ids": ids[order].tobytes(), "vals": vals[order].tobytes(), "width": kind[0], "wide": kind[1]}], schema)
 
         for batch in batches:
             ids, v = batch.column("id").to_numpy(), batch.column("v")
@@ -170,13 +203,19 @@ def _pack(limit: int):
             starts = np.concatenate([[0], np.cumsum(widths)[:-1]])
             for width in np.unique(widths).tolist():
                 rows = np.flatnonzero(widths == width)
-                values = flat[starts[rows][:, None] + np.arange(width)].astype(np.int64)
-                for a in range(0, len(rows), limit):
-                    held.setdefault(width, []).append((ids[rows[a : a + limit]], values[a : a + limit]))
-                    if sum(len(i) for i, _ in held[width]) >= limit:
-                        yield block(width)
-        for width in list(held):
-            yield block(width)
+                raw = flat[starts[rows][:, None] + np.arange(width)]
+                with np.errstate(over="ignore"):
+                    scaled = np.floor(raw * scale)
+                over = (np.abs(scaled) > sliced_limit(width)).any(axis=1)
+                for wide, values in ((False, scaled[~over].astype(np.int32)), (True, raw[over])):
+                    own = ids[rows[over == wide]]
+                    kind = (width, wide)
+                    for a in range(0, len(own), limit):
+                        held.setdefault(kind, []).append((own[a : a + limit], values[a : a + limit]))
+                        if sum(len(i) for i, _ in held[kind]) >= limit:
+                            yield block(kind)
+        for kind in list(held):
+            yield block(kind)
 
     return pack
 
@@ -186,23 +225,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
 
     Components become floor(scale * x); a tie goes to the smaller id.  Vectors that
     are null or empty, hold a null or a non-finite component, or have no id take no
-    part; vectors of different widths don't meet.  A quantised component beyond
-    2 ** 20 is an error, since sums of products have to fit in a long.  Of rows that
+    part; vectors of different widths don't meet.  Scores are exact whatever the
+    size of the components; one that doesn't fit in a long counts as the greatest
+    or least long, so such rows tie with each other at that end.  Of rows that
     share an id each is a candidate, except for queries of the same id.  Fewer
     candidates than k give all of them.  Other columns are ignored.
     """
     v = F.col(vec_col)
-    value = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double"))
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # The fallback keeps the quantisation away from values it can't take.
-    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, v).alias(vec_col), is_query.alias("ask")).filter(f"id is not null and {vec_col} is not null").select("id", value.alias("v"), "ask")
+    usable = vectors.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), sound.alias("sound"), is_query.alias("ask")).filter("id is not null and sound")
     spark = vectors.sparkSession
     asked = usable.filter("ask").select("id", "v")
-    # Both sides are rows of packed blocks; a block of the index meets every block of queries.
-    questions = cut(asked.mapInArrow(_pack(QUERIES), _PACKED)).select(F.struct("ids", "vals", "width").alias("q"))
-    index = usable.select("id", "v").mapInArrow(_pack(BLOCK), _PACKED).select(F.struct("ids", "vals", "width").alias("b"), F.col("width"), F.pmod(F.xxhash64("ids"), F.lit(n := partitions(spark))).alias("slot"))
-    # Equi-join on (width, slot): each query block is copied once per slot, index blocks stay single rows.
-    spread = questions.select("q", F.col("q.width").alias("width"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
+    # Queries are dealt to as many tasks as they fill blocks, however small the input's partitions are.  The counts read no vectors.
+    rows, n_asked = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    blocks = max(1, -(-n_asked // QUERIES))
+    questions = cut(asked.repartition(min(blocks, n := partitions(spark))).mapInArrow(_pack(QUERIES, scale), _PACKED)).select(F.struct("ids", "vals", "width", "wide").alias("q"))
+    # A block of the index meets every block of queries in a cell of a grid of down * across cells, more than there are tasks:
+    # index blocks are copied along a row of the grid, query blocks down a column, so that both sides send about as much.
+    cells = 4 * n
+    across = max(1, min(blocks, round((cells * n_asked / max(1, rows)) ** 0.5)))
+    down = -(-cells // across)
+    index = usable.select("id", "v").mapInArrow(_pack(BLOCK, scale), _PACKED).select(F.struct("ids", "vals", "width", "wide").alias("b"), F.col("width"), _place("ids", down).alias("i"))
+    index = index.select("b", "width", "i", _every(across).alias("j"))
+    spread = questions.select("q", F.col("q.width").alias("width"), _every(down).alias("i"), _place("q.ids", across).alias("j"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, Block | None] = (b"", None)
@@ -210,6 +255,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
             for i in range(batch.num_rows):
                 b, q = batch.column("b")[i].as_py(), batch.column("q")[i].as_py()
                 ids, asks = np.frombuffer(b["ids"], np.int64), np.frombuffer(q["ids"], np.int64)
+                if b["wide"] or q["wide"]:
+                    sides = (np.frombuffer(x["vals"], np.float64 if x["wide"] else np.int32).reshape(-1, x["width"]) for x in (q, b))
+                    whole = (_whole(x, scale) if x.dtype == np.float64 else x.astype(object) for x in sides)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, exact_top(*whole, asks, ids, k))), names=["query_id", "vec_id", "score"])
+                    continue
                 values, questions = (np.frombuffer(x["vals"], np.int32).reshape(-1, b["width"]).astype(np.int64) for x in (b, q))
                 if last[0] != b["ids"] + b["vals"] or last[1] is None:
                     last = (b["ids"] + b["vals"], Block(values))
@@ -226,6 +276,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
                     who, row, points = who[fine], row[fine], points[fine]
                     yield pa.RecordBatch.from_arrays([pa.array(asks[at][who]), pa.array(ids[row]), pa.array(points)], names=["query_id", "vec_id", "score"])
 
-    found = index.join(spread, ["width", "slot"]).select("b", "q").mapInArrow(score, "query_id long, vec_id long, score long")
+    found = index.join(spread, ["width", "i", "j"]).select("b", "q").mapInArrow(score, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _place(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

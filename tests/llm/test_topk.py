@@ -1,17 +1,18 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.llm.topk import Block, top_k
+from plinth.llm.topk import Block, sliced_limit, top_k
 
 
 def brute(rows, k, every, scale=64):
     sound = {}
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            sound.setdefault(i, []).append([math.floor(scale * x) for x in v])
+            sound.setdefault(i, []).append([math.floor(scale * Fraction(x)) for x in v])
     out = []
     for i in sound:
         if i % every == 0:
@@ -41,9 +42,38 @@ def test_few_candidates_and_other_widths(spark):
     assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == []
 
 
-def test_too_large_components_are_an_error(spark):
-    with pytest.raises(Exception, match="exceeds"):
-        run(spark, [(0, [1e9]), (1, [1.0])])
+def capped(found):
+    """Scores as a long holds them, ranked anew."""
+    out = []
+    for query in sorted({f[0] for f in found}):
+        mine = sorted((-max(-(2**63), min(2**63 - 1, s)), j) for q, _, j, s in found if q == query)
+        out += [(query, r + 1, j, -s) for r, (s, j) in enumerate(mine)]
+    return out
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    for i, size in enumerate((1e4, 2e4, 1e6, 1.1e6, 1e8, 1e12, 1e15, 2.0**53, 1e18, 1e30, 1e300, 1.7e308)):
+        v = [float(x) for x in rng.normal(size=6)]
+        v[i % 6] = size * (-1) ** i
+        rows += [(100 + 2 * i, v), (101 + 2 * i, [0.0] * 5 + [size])]
+    rows += [(200, [0.0] * 5 + [1.0]), (204, [1e300, 0.0, 0.0, 0.0, 0.0, 1.0]), (205, [-1e300, 0.0, 0.0, 0.0, 0.0, 3.0]), (208, [0.0] * 6), (212, [20000.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    every = capped(brute(rows, len(rows), 4))
+    for k in (3, len(rows)):
+        assert sorted(map(tuple, top_k(df, F.col("vec_id") % 4 == 0, k).collect())) == [f for f in every if f[1] <= k]
+
+
+def test_the_index_up_to_its_limit():
+    for width in (1, 2, 7, 64, 1000):
+        most = sliced_limit(width)
+        assert 8 * width * most**2 < 2**63
+        values = np.array([[most] * width, [-most] * width, [0] * width, [most] + [-most] * (width - 1)])
+        q, row, score = Block(values).top(values, np.full(4, -1), 4)
+        for i in range(4):
+            exact = [sum(a * b for a, b in zip(values[i].tolist(), v, strict=True)) for v in values.tolist()]
+            assert sorted(zip(row[q == i].tolist(), score[q == i].tolist(), strict=True)) == list(enumerate(exact))
 
 
 @pytest.mark.parametrize("seed", range(20))
