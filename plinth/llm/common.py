@@ -61,6 +61,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spaced(text: Column) -> Column:
+    """A text (null: empty) with plain spaces for all white space between words."""
+    out = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\f\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array (null: empty)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(spaced(text), " "), "")

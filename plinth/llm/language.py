@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of all labelled documents by language and bucket;
-each task sums its own before the exchange.  The matrix of log-probabilities has
-at most CELLS entries whatever the input, is broadcast, and scores whole batches:
-the sparse n-grams of each text select rows of the matrix, which are summed.
+each task sums its own before the exchange.  The matrix of log-probabilities has a
+row of BUCKETS for each language, 128 KB whatever the input, and is broadcast in
+slices of LANGUAGES rows.  It scores whole batches: the sparse n-grams of each text
+select cells of a row, which are summed.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from plinth.llm.arrays import mix, slices
+from plinth.llm.common import cut
 
-#: Lengths of n-grams, most buckets, most cells of the matrix (32 MB), smoothing.
-ORDERS, BUCKETS, CELLS, ALPHA = (1, 2, 3), 1 << 15, 1 << 23, 0.5
+#: Lengths of n-grams, buckets, smoothing, languages in a slice of the matrix (16 MB).
+ORDERS, BUCKETS, ALPHA, LANGUAGES = (1, 2, 3), 1 << 15, 0.5, 128
 #: Answer for texts without letters.
 UNKNOWN = "und"
 #: n-grams that count as independent evidence for the score.
@@ -30,12 +32,12 @@ _STEP = 1 << 18
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, the first of each text (n + 1 positions), whether a text has letters.
+def ngrams(low: list[str], buckets: int, starts: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of lower-case texts, the first of each text (n + 1 positions), whether a text has some.
 
-    Lower case; everything but letters is a space; an n-gram has a letter and stays within its text.
+    Everything but letters is a space; an n-gram has a letter and stays within its
+    text.  starts: of a single text, the places from which n-grams are taken.
     """
-    low = [(t or "").lower() for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     edges = np.concatenate([[0], np.cumsum([len(t) for t in low])])
     letter = _LETTER[points]
@@ -51,6 +53,8 @@ def ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarra
             break
         if n in ORDERS:
             use = some & (owner[: len(key)] == owner[n - 1 :])
+            if starts is not None:
+                use[starts:] = False
             found.append((mix(key[use] + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(buckets - 1)).astype(np.int32))
             owners.append(owner[: len(key)][use])
     if not found:
@@ -61,16 +65,40 @@ def ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(found)[order], first, np.diff(first) > 0
 
 
-class Model:
-    """Log-probabilities (languages, buckets) and log-priors."""
+def _lower(texts: list[str | None]) -> list[str]:
+    return [(t or "").lower() for t in texts]
+
+
+def counted(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ngrams of the texts in lower case; a single text that is long comes in parts, each n-gram in one of them."""
+    low = _lower(texts)
+    if len(low) != 1 or len(low[0]) <= _STEP:
+        yield ngrams(low, BUCKETS)
+        return
+    for at in range(0, len(low[0]), _STEP):
+        yield ngrams([low[0][at : at + _STEP + max(ORDERS) - 1]], BUCKETS, _STEP)
 
-    def __init__(self, languages: list[str], documents: np.ndarray, counts: np.ndarray):
-        self.languages = languages
+
+class Slice:
+    """Log-probabilities (languages, buckets) of some languages."""
+
+    def __init__(self, counts: np.ndarray):
         self.weights = np.log((counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * counts.shape[1])).astype(np.float32)
-        self.priors = np.log((documents + 1) / (documents.sum() + len(languages)))
         #: Mean log-probability of the n-grams that each language was counted from, smoothing included.
         self.usual = (np.exp(self.weights, dtype=np.float64) * self.weights).sum(axis=1)
 
+    def totals(self, found: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(languages, texts): sums over the n-grams `found` of texts that begin at `first` and have some."""
+        return np.stack([np.add.reduceat(row[found], first, dtype=np.float64) for row in self.weights])
+
+
+class Model:
+    """Languages with log-priors, and the matrix in slices, each held by a broadcast variable (or anything with a `value`)."""
+
+    def __init__(self, languages: list[str], documents: np.ndarray, slices: list):
+        self.languages, self.slices = languages, slices
+        self.priors = np.log((documents + 1) / (documents.sum() + len(languages)))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """The likeliest language of each text, its posterior, with evidence counted for at most EVIDENCE n-grams, and its fit.
 
@@ -79,23 +107,27 @@ class Model:
         most): short texts stray more.  Unlike the posterior it is low for languages
         that weren't learned.
         """
+        answers, score, fit = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        found, first, some = ngrams(texts, self.weights.shape[1])
-        total = np.zeros((len(self.languages), len(texts)))
-        rows, sizes = np.flatnonzero(some), np.diff(first)[some]
-        for i, weights in enumerate(self.weights):
-            if len(rows):
-                total[i, rows] = np.add.reduceat(weights[found], first[rows], dtype=np.float64)
+            return answers, score.tolist(), fit.tolist()
+        sizes, every = np.zeros(len(texts), np.int64), np.zeros((len(self.languages), len(texts)))
+        for found, first, some in counted(texts):
+            there = np.flatnonzero(some)
+            if len(there):
+                sizes[there] += np.diff(first)[there]
+                every[:, there] += np.concatenate([part.value.totals(found, first[there]) for part in self.slices])
+        rows = np.flatnonzero(sizes)
+        sizes, total, at = sizes[rows], every[:, rows], np.arange(len(rows))
         best = (total + self.priors[:, None]).argmax(axis=0)
-        level = np.zeros_like(total)
-        level[:, rows] = total[:, rows] / sizes * np.minimum(sizes, EVIDENCE)
-        level += self.priors[:, None]
-        fit = np.zeros(len(texts))
-        fit[rows] = (total[best[rows], rows] / sizes - self.usual[best[rows]]) * np.sqrt(np.minimum(sizes, EVIDENCE))
-        odds = np.exp(level - level.max(axis=0))
-        score = odds[best, np.arange(len(texts))] / odds.sum(axis=0)
-        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0).tolist(), fit.tolist()
+        usual = np.concatenate([part.value.usual for part in self.slices])
+        fit[rows] = (total[best, at] / sizes - usual[best]) * np.sqrt(np.minimum(sizes, EVIDENCE))
+        level = total / sizes * np.minimum(sizes, EVIDENCE) + self.priors[:, None]
+        if len(rows):
+            odds = np.exp(level - level.max(axis=0))
+            score[rows] = odds[best, at] / odds.sum(axis=0)
+        for i, b in zip(rows.tolist(), best.tolist(), strict=True):
+            answers[i] = self.languages[b]
+        return answers, score.tolist(), fit.tolist()
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -103,7 +135,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, label: str = "lang") -> Model:
-    """The model of the texts and non-null labels of all of docs."""
+    """The model of the texts and non-null labels of all of docs; its size goes with the number of labels alone."""
     labelled = docs.select("text", F.col(label).alias("label")).filter("text is not null and label is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,35 +149,31 @@ def train(docs: DataFrame, label: str = "lang") -> Model:
 
         for batch in batches:
             for part in _parts(batch):
-                found, first, _ = ngrams(part.column("text").to_pylist(), BUCKETS)
                 labels = np.array(part.column("label").to_pylist(), object)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(first))
                 for name in set(labels):
-                    mine = labels == name
-                    held = sums.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                    held[0] += mine.sum()  # documents
-                    held[1:] += np.bincount(found[mine[owner]], minlength=BUCKETS)
-                if len(sums) > 64:
+                    sums.setdefault(name, np.zeros(BUCKETS + 1, np.int64))[0] += (labels == name).sum()  # documents
+                for found, first, _ in counted(part.column("text").to_pylist()):
+                    owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+                    for name in set(labels):
+                        sums[name][1:] += np.bincount(found[(labels == name)[owner]], minlength=BUCKETS)
+                # Sums are handed on before they outgrow the task, as many labels as there may be.
+                if len(sums) > LANGUAGES:
                     yield from flush()
         yield from flush()
 
-    counted = labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in labelled.select("label").distinct().limit(CELLS >> 10).collect())
-    if len(languages) == CELLS >> 10:
-        raise ValueError(f"{label} has too many values for a matrix of {CELLS} cells")
-    # With very many languages buckets are folded, so that the matrix keeps its bound.
-    buckets = BUCKETS
-    while languages and buckets * len(languages) > CELLS:
-        buckets //= 2
-    folded = counted.groupBy("label", F.when(F.col("bucket") >= 0, F.col("bucket") % buckets).otherwise(F.lit(-1)).alias("bucket")).agg(F.sum("n").alias("n"))
-    place = {name: i for i, name in enumerate(languages)}
-    documents, counts = np.zeros(len(languages)), np.zeros((len(languages), buckets))
-    got = folded.toArrow()
-    row = np.array([place[x] for x in got.column("label").to_pylist()], np.int64)
-    bucket, n = got.column("bucket").to_numpy(), got.column("n").to_numpy()
-    documents[row[bucket < 0]] = n[bucket < 0]
-    counts[row[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
-    return Model(languages, documents, counts)
+    sums = cut(labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")))
+    documents = {r["label"]: r["n"] for r in sums.filter("bucket < 0").select("label", "n").toLocalIterator()}
+    languages = sorted(documents)
+    parts = []
+    for low in range(0, len(languages), LANGUAGES):
+        names = languages[low : low + LANGUAGES]
+        place = {name: i for i, name in enumerate(names)}
+        got = sums.filter((F.col("bucket") >= 0) & F.col("label").between(names[0], names[-1])).toArrow()
+        counts = np.zeros((len(names), BUCKETS))
+        row = np.array([place[x] for x in got.column("label").to_pylist()], np.int64)
+        counts[row, got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+        parts.append(docs.sparkSession.sparkContext.broadcast(Slice(counts)))
+    return Model(languages, np.array([documents[x] for x in languages], np.float64), parts)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -159,14 +187,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, out: t
     out: names of the two new columns, perhaps of a third one for the fit; columns
     of docs with these names are replaced.  With a model of no languages every answer is `und`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
     docs = docs.select(*keep, *[c for c in ["text"] if c not in keep])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                languages, *scores = shared.value.predict(part.column("text").to_pylist())
+                languages, *scores = model.predict(part.column("text").to_pylist())
                 new = [pa.array(languages, pa.string()), *(pa.array(x, pa.float64()) for x in scores)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new[: len(out)]], names=[*keep, *out])
 

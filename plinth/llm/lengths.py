@@ -2,9 +2,10 @@
 
 Documents are aggregated by their encoded length; running sums over the distinct
 lengths then answer how many documents and tokens lie below or above a limit, what
-truncation keeps, and quantiles.  The histogram has far fewer rows than the corpus
-(distinct lengths add up to no more than all tokens), and its running sums are
-taken in blocks of lengths, so no task gets all of it.
+truncation keeps, and quantiles.  The histogram is written before it is summed, so
+texts are encoded once.  It has far fewer rows than the corpus: n distinct lengths
+need n * n / 2 tokens, so 100 TB have some millions at most.  Its running sums are
+taken in blocks of BLOCK lengths, and one task adds up a row for each block.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.arrays import slices
+from plinth.llm.common import cut
 from plinth.llm.tokens import byte_bpe
 
 #: Lengths in a block of the running sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -31,7 +33,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, seen = byte_bpe(path, pattern), np.zeros(0, np.int64)
+        encoding = byte_bpe(path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [len(encoding.encode_ordinary(t)) if t else 0 for t in part.column("text").to_pylist()]
@@ -46,7 +48,8 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
     counts: (n_tokens, docs), any number of rows per length.  An empty table gives no rows.
     """
-    histogram = counts.groupBy("n_tokens").agg(F.sum("docs").alias("docs")).withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    histogram = cut(counts.groupBy("n_tokens").agg(F.sum("docs").alias("docs")))
+    histogram = histogram.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = histogram.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()

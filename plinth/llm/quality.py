@@ -4,7 +4,9 @@ Base rules count words, symbols and repeats.  The verdict is a log-likelihood
 ratio: hashed word n-grams of trusted documents and of the whole corpus are two
 multinomials, and a document keeps its place if the mean log-ratio of its n-grams
 reaches a threshold.  The table has BUCKETS cells whatever the corpus, so it is
-part of the plan and each document is scored where it is read.
+part of the plan and each document is scored where it is read.  Repeats are found
+by hashes of 64 bits: a text of ten million words has a false one with a
+probability of 3e-6.
 """
 
 from __future__ import annotations
@@ -14,21 +16,31 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import SPACE, words
+from plinth.llm.common import cut, spaced, words
 
 #: Cells of the table of log-ratios; smoothing.
 BUCKETS, ALPHA = 1 << 14, 1.0
 #: Trusted documents that are learned from at most (those of the least hashes of doc_id), a documented bound of the fit.
 TRUSTED = 10_000
-#: One of so many trusted documents is held out of the counts; the threshold lies SLACK below this quantile of their scores.
-HELD_OUT, QUANTILE, SLACK = 4, 0.005, 0.05
+#: One of so many trusted documents is held out of the counts; all of these set the threshold, which lies SLACK below this quantile
+#: of their scores, taken in steps of 1 / STEPS.
+HELD_OUT, QUANTILE, SLACK, STEPS = 4, 0.005, 0.05, 10_000
+
+
+def _bucket(*x: Column) -> Column:
+    return F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
 
 
 def _features(w: Column) -> Column:
     """Buckets of a text's words and word pairs."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
-    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: bucket(x, F.get(w, i + 1)))
-    return F.concat(F.transform(w, lambda x: bucket(x)), pairs)
+    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: _bucket(x, F.get(w, i + 1)))
+    return F.concat(F.transform(w, lambda x: _bucket(x)), pairs)
+
+
+def _without(text: Column, signs: str) -> Column:
+    for c in signs:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -38,68 +50,81 @@ def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
     out = docs.select(*keep, text.alias("t"), words(F.col("text")).alias("w"), lines.alias("lines"))
     out = out.select(
         *keep, "w", F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(_without(spaced(F.col("t")), " ")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(_without(F.col("t"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        # Windows of three words as hashes of 64 bits.
+        F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))).alias("h"),
     )
-    # Windows of three words as hash and position in one long: neighbours in sorted order that share the hash repeat.
-    # The position has just the bits that the text needs, the hash all others.
-    out = out.withColumn("bits", F.length(F.bin("n_words")))
-    window = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)), F.col("bits")).bitwiseOR(i.cast("long")))
-    out = out.withColumn("s", F.sort_array(window))
-    of = lambda x: F.call_function("shiftright", x, F.col("bits"))
-    same = lambda x, i: F.coalesce(of(x) == of(F.get("s", i)), F.lit(False))
+    # Only of texts with a repeat the windows are sorted, with their places: neighbours that share the hash repeat.
+    placed = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    out = out.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), placed))
+    same = lambda x, i: F.coalesce(x["h"] == F.get("s", i)["h"], F.lit(False))
     again = F.filter("s", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    out = out.withColumn("p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))))
-    covered = F.transform("p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("p", i + 1) - p, F.lit(3).cast("long"))))
-    repeated = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("n_repeat_words", repeated).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("bits", "s", "p")
+    out = out.withColumn("p", F.sort_array(F.transform(again, lambda x: x["i"])))
+    covered = F.transform("p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - p, F.lit(3))))
+    repeated = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+    return out.withColumn("n_repeat_words", repeated).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("h", "s", "p")
 
 
 class Ratio:
-    """Log-ratios by bucket and the threshold of their mean."""
+    """Log-ratios by bucket."""
 
-    def __init__(self, values: list[float], threshold: float):
-        self.values, self.threshold = values, threshold
+    def __init__(self, values: list[float]):
+        self.values = values
 
     def score(self, w: Column) -> Column:
         table = F.split(F.lit(",".join(f"{x:.5f}" for x in self.values)), ",").cast("array<double>")
-        total = F.aggregate(_features(w), F.lit(0.0), lambda a, b: a + F.get(table, b))
+        # Each word with the pair that it begins; the last one begins none.
+        pair = lambda x, i: F.when(i + 1 < F.size(w), F.get(table, _bucket(x, F.get(w, i + 1)))).otherwise(F.lit(0.0))
+        each = F.transform(w, lambda x, i: F.get(table, _bucket(x)) + pair(x, i))
+        total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
         return F.coalesce(total / F.greatest(2 * F.size(w) - 1, F.lit(1)), F.lit(0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Ratio:
-    """Ratios of trusted documents (quality 1) to all documents; without trusted ones all ratios are 0 and everything passes.
+def _trusted(labels: DataFrame) -> DataFrame:
+    """(trusted, tested): ids of documents of quality 1, and whether they are held out of the counts."""
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted")).distinct()
+    return good.withColumn("tested", F.pmod(F.xxhash64("trusted", F.lit(1)), F.lit(HELD_OUT)) == 0)
 
-    Without any held out that has 50 words the threshold is SLACK below 0.
-    """
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select(F.col("doc_id").alias("trusted")))
+
+def fit(docs: DataFrame, labels: DataFrame) -> Ratio:
+    """Ratios of trusted documents (quality 1, those held out aside) to all documents; without trusted ones all ratios are 0."""
     # Documents that were counted as trusted score above their like, so others of them set the threshold.
-    tested = F.pmod(F.xxhash64("trusted", F.lit(1)), F.lit(HELD_OUT)) == 0
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("trusted"), "left")
-    each = marked.select((F.col("trusted").isNotNull() & ~tested).alias("good"), words(F.col("text")).alias("w")).select("good", F.explode(_features(F.col("w"))).alias("bucket"))
+    learned = _trusted(labels).filter("not tested").orderBy(F.xxhash64("trusted"), "trusted").limit(TRUSTED).select("trusted")
+    marked = docs.select("doc_id", "text").join(F.broadcast(learned), F.col("doc_id") == F.col("trusted"), "left")  # TRUSTED rows at most
+    each = marked.select(F.col("trusted").isNotNull().alias("good"), words(F.col("text")).alias("w")).select("good", F.explode(_features(F.col("w"))).alias("bucket"))
     rows = each.groupBy("bucket").agg(F.count("*").alias("every"), F.count_if("good").alias("good")).collect()  # BUCKETS at most
     every, trusted = ({r["bucket"]: r[c] for r in rows} for c in ("every", "good"))
     n, m = sum(every.values()), sum(trusted.values())
     if not m:
-        return Ratio([0.0] * BUCKETS, 0.0)
+        return Ratio([0.0] * BUCKETS)
     ratio = lambda b: math.log((trusted.get(b, 0) + ALPHA) / (m + ALPHA * BUCKETS)) - math.log((every.get(b, 0) + ALPHA) / (n + ALPHA * BUCKETS))
-    found = Ratio([ratio(b) for b in range(BUCKETS)], 0.0)
-    scored = docs.select("doc_id", "text").join(good.filter(tested), F.col("doc_id") == F.col("trusted")).select(words(F.col("text")).alias("w")).filter(F.size("w") >= 50)
-    low = scored.select(found.score(F.col("w")).alias("score")).agg(F.percentile("score", QUANTILE)).first()[0]
-    found.threshold = min(0.0, low or 0.0) - SLACK
-    return found
+    return Ratio([ratio(b) for b in range(BUCKETS)])
+
+
+def scored(docs: DataFrame, ratio: Ratio) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score of each row."""
+    rules = base_rules(docs.select("doc_id", "text"), ["doc_id"])
+    return rules.withColumn("score", ratio.score(F.col("w"))).drop("w")
 
 
-def assess(docs: DataFrame, ratio: Ratio) -> DataFrame:
+def threshold(found: DataFrame, labels: DataFrame) -> float:
+    """SLACK below the low quantile of the scores (0 at most) of all trusted documents that were held out and have 50 words; below 0 without any."""
+    tested = found.filter("n_words >= 50").join(_trusted(labels).filter("tested"), F.col("doc_id") == F.col("trusted"))
+    # Steps keep the distinct values of the exact percentile few.
+    low = tested.agg(F.percentile(F.floor(F.col("score") * STEPS) / STEPS, QUANTILE)).first()[0]
+    return min(0.0, low or 0.0) - SLACK
+
+
+def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     A null text has no words and fails the base rules.  Rows are judged alone:
-    ties, repeated rows and null doc_ids are rows like others; other columns are ignored.
+    ties, repeated rows and null doc_ids are rows like others; other columns are
+    ignored.  Counts and scores, not texts, are written before the threshold is
+    taken from them, so texts are read twice, once to count and once to score.
     """
-    rules = base_rules(docs.select("doc_id", "text"), ["doc_id"])
-    scored = rules.withColumn("score", ratio.score(F.col("w")))
-    kept = ~F.col("base_failed") & (F.col("score") >= ratio.threshold)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
+    found = cut(scored(docs, fit(docs, labels)))
+    kept = ~F.col("base_failed") & (F.col("score") >= threshold(found, labels))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")

@@ -56,8 +56,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 counts before its verdict."""
+    return quality.base_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).drop("w")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets by source that op3 mixes to."""
+    return mixing.targets(table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(mixing.size(F.col("text"))).alias("source_size")))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's sums over lengths in words."""
+    return lengths.suffix_sums(table(spark, sf_dir, "documents").select(mixing.size(F.col("text")).alias("n_tokens"), F.lit(1).cast("long").alias("docs")))
 
 
 QUERIES = {
@@ -71,6 +85,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "quality_base_rules": quality_base_rules,
+    "mixing_targets": mixing_targets,
+    "word_counts": word_counts,
 }
 _WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -110,4 +127,33 @@ ORACLES: dict[str, str] = {
         reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
         least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)""",
+    "quality_base_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, {_WORDS.format("text")} AS w FROM documents),
+        windows AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        again AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+        repeated AS (SELECT row, count(DISTINCT i + o) AS n FROM again, range(3) AS r(o) GROUP BY row),
+        counted AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+            FROM d LEFT JOIN repeated USING (row))
+        SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+            n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+        FROM counted""",
+    "mixing_targets": f"""
+        WITH sizes AS (SELECT source, CAST(sum(len({_WORDS.format("text")})) AS BIGINT) AS source_size FROM documents GROUP BY source),
+        ranked AS (SELECT source, source_size, [5.0, 2.0, 1.0]::DOUBLE[][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * CAST(source_size AS DOUBLE) AS cap FROM sizes),
+        -- The level of shares at which capped sources and shares add up: the greatest of those that some number of capped ones gives.
+        levels AS (
+            SELECT a.source, (1.5 * (SELECT sum(source_size) FROM ranked) - coalesce(sum(b.cap), 0)) / ((SELECT sum(weight) FROM ranked) - coalesce(sum(b.weight), 0)) AS level, a.cap / a.weight AS full
+            FROM ranked a LEFT JOIN ranked b ON b.cap / b.weight < a.cap / a.weight GROUP BY a.source, a.cap, a.weight),
+        one AS (SELECT max(CAST(level AS DOUBLE)) AS level FROM levels WHERE full >= level)
+        SELECT source, source_size, least(cap, coalesce(weight * (SELECT level FROM one), cap)) AS target FROM ranked""",
+    "word_counts": f"""
+        WITH n AS (SELECT CAST(len({_WORDS.format("text")}) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS docs FROM documents GROUP BY ALL)
+        SELECT a.n_tokens, a.docs, CAST(coalesce(sum(b.docs) FILTER (b.n_tokens > a.n_tokens), 0) AS BIGINT) AS docs_over,
+            CAST(coalesce(sum(b.docs * b.n_tokens) FILTER (b.n_tokens > a.n_tokens), 0) AS BIGINT) AS tokens_over,
+            CAST(sum(b.docs) FILTER (b.n_tokens <= a.n_tokens) AS BIGINT) AS docs_up_to, CAST(sum(b.docs * b.n_tokens) FILTER (b.n_tokens <= a.n_tokens) AS BIGINT) AS tokens_up_to,
+            CAST(sum(b.docs * least(a.n_tokens, b.n_tokens)) AS BIGINT) AS kept_tokens, CAST(docs_up_to AS DOUBLE) / CAST(sum(b.docs) AS BIGINT) AS quantile
+        FROM n a, n b GROUP BY a.n_tokens, a.docs""",
 }

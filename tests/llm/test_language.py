@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from plinth.llm import language
 from tests.llm.support import corpus, frame
 
@@ -41,15 +43,45 @@ def test_counts_as_one_by_one(spark):
     model = language.train(frame(spark, rows))
     assert model.languages == sorted(LANGUAGES)
     for i, name in enumerate(model.languages):
-        found, *_ = language.ngrams([t for _, t, n, _ in rows if n == name], language.BUCKETS)
+        found, *_ = language.ngrams([t.lower() for _, t, n, _ in rows if n == name], language.BUCKETS)
         counts = [0] * language.BUCKETS
         for b in found:
             counts[b] += 1
         total = len(found) + language.ALPHA * language.BUCKETS
         for b in set(found[:50].tolist()):
-            assert abs(model.weights[i, b] - __import__("math").log((counts[b] + language.ALPHA) / total)) < 1e-4
+            assert abs(model.slices[0].value.weights[i, b] - __import__("math").log((counts[b] + language.ALPHA) / total)) < 1e-4
 
 
 def test_no_labels_no_rows(spark):
     assert language.identify(frame(spark, [])).collect() == []
     assert {r["lang_pred"] for r in language.identify(frame(spark, [(i, t, None, s) for i, t, _, s in corpus()])).collect()} == {"und"}
+
+
+def test_long_texts_in_parts(monkeypatch):
+    text = "Ünd the İÇ nicht; " * 5000 + "x"
+    found, first, _ = language.ngrams([text.lower()], language.BUCKETS)
+    monkeypatch.setattr(language, "_STEP", 1000)
+    parts = list(language.counted([text]))
+    assert len(parts) > 80 and np.array_equal(np.sort(np.concatenate([p[0] for p in parts])), np.sort(found))
+    assert [len(p[0]) for p in language.counted([text, "a"])] == [len(found) + 1]
+
+
+def test_very_long_texts(spark):
+    rows = [*labelled(60), (1000, "und nicht schön über " * 100_000, None, "s"), (1001, "x" * 2_000_000, "fr", "s"), (1002, ". " * 1_000_000, None, "s")]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame(spark, rows)).collect()}
+    assert found[1000] == "de" and found[1002] == "und"
+
+
+def test_very_many_labels(spark):
+    """More labels than a slice has, some of them rare, change nothing but what they teach themselves."""
+    rows = [(i, t, n, s) for i, t, n, s in labelled(200)]
+    rows += [(1000 + i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 5, f"x{i:03}", "s") for i in range(300)]
+    docs = frame(spark, rows)
+    model = language.train(docs)
+    assert len(model.languages) == 303 and [len(part.value.weights) for part in model.slices] == [128, 128, 47]
+    few = language.train(docs.filter("doc_id < 1000"))
+    for i, name in enumerate(few.languages):
+        at = model.languages.index(name)
+        assert np.array_equal(model.slices[at // 128].value.weights[at % 128], few.slices[0].value.weights[i])
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert all(found[r[0]] == r[2] for r in rows)

@@ -1,6 +1,8 @@
 import collections
 import math
 
+import pytest
+
 from plinth.llm import quality
 from tests.llm.support import corpus, frame, prose
 
@@ -23,12 +25,20 @@ TEXTS = ["a\nb\n\na\n \nb \nb", "x y z x y z", "x y z x y z w x y z", "# * $ % &
 def test_rules_as_brute_force(spark):
     rows = corpus() + [(200 + i, t, "en", "s") for i, t in enumerate(TEXTS)] + [(None, prose(1, 70), "en", "s")]
     docs = frame(spark, rows, clashing=True)
-    found = quality.assess(docs, quality.Ratio([0.0] * quality.BUCKETS, 0.0)).collect()
+    found = quality.scored(docs, quality.Ratio([0.0] * quality.BUCKETS)).collect()
     text = {i: t for i, t, *_ in rows}
     assert len(found) == len(rows)
     for r in found:
         assert tuple(r)[1:7] == brute(text[r["doc_id"]]), r["doc_id"]
-        assert r["kept"] == (not r["base_failed"])
+        assert r["score"] == 0
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(2_000_000)]
+    texts = [" ".join(words), " ".join(words + words[:3]), "x" * 3_000_000, "\n" * 1_000_000, "a b " * 500_000]
+    found = {r["doc_id"]: r for r in quality.scored(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), quality.Ratio([0.0] * quality.BUCKETS)).collect()}
+    assert [found[i]["n_repeat_words"] for i in range(5)] == [0, 6, 0, 0, 1_000_000]
+    assert [found[i]["n_words"] for i in range(5)] == [2_000_000, 2_000_003, 1, 0, 1_000_000]
 
 
 def test_junk_goes_and_prose_stays(spark):
@@ -37,11 +47,22 @@ def test_junk_goes_and_prose_stays(spark):
     junk = [(100 + i, " ".join(f"{w}!!$$" for w in prose(500 + i, 120, 25).upper().split()), "en", "s") for i in range(30)]
     docs = frame(spark, good + junk, clashing=True)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(0, 1, 0), (100, 0, 1), (None, 1, None), (7, None, None)], LABELS)
-    ratio = quality.fit(docs, labels)
-    kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs, ratio).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs, labels).collect()}
     assert all(kept[i] == (i < 100) for i in kept)
-    again = quality.fit(docs.repartition(5), labels)
-    assert again.values == ratio.values and again.threshold == ratio.threshold
+    ratio, again = quality.fit(docs, labels), quality.fit(docs.repartition(5), labels)
+    assert again.values == ratio.values
+    assert quality.threshold(quality.scored(docs, ratio), labels) == quality.threshold(quality.scored(docs.repartition(5), ratio), labels)
+
+
+def test_all_that_were_held_out_set_the_threshold(spark, monkeypatch):
+    rows = [(i, prose(i, 60 + i, 25), "en", "s") for i in range(60)] + [(90, "short", "en", "s")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], LABELS)
+    monkeypatch.setattr(quality, "TRUSTED", 5)
+    held = {r[0] for r in spark.sql(f"SELECT id FROM range(100) WHERE pmod(xxhash64(id, 1), {quality.HELD_OUT}) = 0").collect()}
+    found = quality.scored(frame(spark, rows), quality.fit(frame(spark, rows), labels))
+    scores = sorted(math.floor(r["score"] * quality.STEPS) / quality.STEPS for r in found.collect() if r["doc_id"] in held and r["n_words"] >= 50)
+    at = quality.QUANTILE * (len(scores) - 1)
+    assert len(scores) > 5 and quality.threshold(found, labels) == pytest.approx(min(0.0, scores[0] + at * (scores[1] - scores[0])) - quality.SLACK)
 
 
 def test_ratios_as_counted_otherwise(spark):
@@ -55,7 +76,7 @@ def test_ratios_as_counted_otherwise(spark):
     n, m = sum(every.values()), 5 * (40 - held)
     for x, b in bucket.items():
         assert abs(ratio.values[b] - math.log((trusted.get(x, 0) * (40 - held) + 1) / (m + quality.BUCKETS)) + math.log((every[x] + 1) / (n + quality.BUCKETS))) < 1e-9
-    score = {r["doc_id"]: r["score"] for r in quality.assess(frame(spark, rows), ratio).collect()}
+    score = {r["doc_id"]: r["score"] for r in quality.scored(frame(spark, rows), ratio).collect()}
     parts = ["'a'", "'b'", "'a'", "'a', 'b'", "'b', 'a'"]
     assert abs(score[0] - sum(ratio.values[bucket[x]] for x in parts) / 5) < 1e-4 and score[90] == 0
 
@@ -63,12 +84,11 @@ def test_ratios_as_counted_otherwise(spark):
 def test_nothing_trusted_nothing_there(spark):
     none = spark.createDataFrame([], LABELS)
     docs = frame(spark, corpus())
-    assert all(r["kept"] == (not r["base_failed"]) for r in quality.assess(docs, quality.fit(docs, none)).collect())
-    empty = frame(spark, [])
-    assert quality.assess(empty, quality.fit(empty, none)).collect() == []
+    assert all(r["kept"] == (not r["base_failed"]) for r in quality.assess(docs, none).collect())
+    assert quality.assess(frame(spark, []), none).collect() == []
 
 
 def test_only_dataframe_functions(spark):
     docs = frame(spark, corpus())
-    plan = quality.assess(docs, quality.Ratio([0.0] * quality.BUCKETS, 0.0))._jdf.queryExecution().toString()
+    plan = quality.scored(docs, quality.Ratio([0.0] * quality.BUCKETS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
