@@ -145,9 +145,9 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT source, source_size, [5.0, 2.0, 1.0]::DOUBLE[][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * CAST(source_size AS DOUBLE) AS cap FROM sizes),
         -- The level of shares at which capped sources and shares add up: the greatest of those that some number of capped ones gives.
         levels AS (
-            SELECT a.source, (1.5 * (SELECT sum(source_size) FROM ranked) - coalesce(sum(b.cap), 0)) / ((SELECT sum(weight) FROM ranked) - coalesce(sum(b.weight), 0)) AS level, a.cap / a.weight AS full
+            SELECT a.source, (1.5 * (SELECT sum(source_size) FROM ranked) - coalesce(sum(b.cap), 0)) / ((SELECT sum(weight) FROM ranked) - coalesce(sum(b.weight), 0)) AS level, a.cap / a.weight AS fills
             FROM ranked a LEFT JOIN ranked b ON b.cap / b.weight < a.cap / a.weight GROUP BY a.source, a.cap, a.weight),
-        one AS (SELECT max(CAST(level AS DOUBLE)) AS level FROM levels WHERE full >= level)
+        one AS (SELECT max(CAST(level AS DOUBLE)) AS level FROM levels WHERE fills >= level)
         SELECT source, source_size, least(cap, coalesce(weight * (SELECT level FROM one), cap)) AS target FROM ranked""",
     "word_counts": f"""
         WITH n AS (SELECT CAST(len({_WORDS.format("text")}) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS docs FROM documents GROUP BY ALL)
