@@ -142,7 +142,7 @@ ORACLES: dict[str, str] = {
         FROM counted""",
     "mixing_targets": f"""
         WITH sizes AS (SELECT source, CAST(sum(len({_WORDS.format("text")})) AS BIGINT) AS source_size FROM documents GROUP BY source),
-        ranked AS (SELECT source, source_size, [5.0, 2.0, 1.0]::DOUBLE[][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * CAST(source_size AS DOUBLE) AS cap FROM sizes),
+        ranked AS (SELECT source, source_size, CAST(list_extract([5, 2, 1], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS DOUBLE) AS weight, 2 * CAST(source_size AS DOUBLE) AS cap FROM sizes),
         -- The level of shares at which capped sources and shares add up: the greatest of those that some number of capped ones gives.
         levels AS (
             SELECT a.source, (1.5 * (SELECT sum(source_size) FROM ranked) - coalesce(sum(b.cap), 0)) / ((SELECT sum(weight) FROM ranked) - coalesce(sum(b.weight), 0)) AS level, a.cap / a.weight AS fills
