@@ -36,16 +36,36 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, kept in the shared folder until it is no longer referred to."""
     shared_folder(df.sparkSession)
+    # Read when a checkpoint is made: its files go with the last DataFrame that reads them.
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet below the shared folder, and read again: for wide tables that several jobs read."""
+    """df written as Parquet below the shared folder, and read again: for wide tables that several jobs read.
+
+    The files go when the driver ends, or before by dropped().
+    """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    files, place = _files(df.sparkSession, path)
+    files.deleteOnExit(place)
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files that stored() wrote for df, once nothing reads them any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if f.rsplit("/", 1)[0].endswith(".parquet")}:
+        files, place = _files(df.sparkSession, path)
+        files.delete(place, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
     """Lets the session hand texts to Python in batches of at most `limit`, unless it has a limit of its own.
 

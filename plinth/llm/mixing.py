@@ -110,9 +110,10 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of docs that the mix takes, all columns, those taken twice as two rows.
 
     Each row is judged where it is read, by its hash and its source's threshold;
-    docs are neither sorted nor joined by document.
+    docs are neither sorted nor joined by document.  Second copies come from a
+    reading of their own, so that they are far from the first ones.
     """
     plan = thresholds(cut(docs.select("source", size(F.col("text")).alias("size"), _hash(seed).alias("hash"))))
     names = docs.columns
     held = docs.select(F.struct(*names).alias("row"), F.col("source").alias("source"), _hash(seed).alias("hash")).join(plan, _same("source", "s"))
-    return held.select("row", F.explode(F.array_repeat(F.lit(0), _copies()))).select("row.*")
+    return reduce(DataFrame.unionAll, [held.filter(_copies() > i).select("row.*") for i in range(MOST)])

@@ -1,16 +1,19 @@
 """Packing documents into training sequences by first-fit decreasing.
 
-Documents are dealt by a hash into groups of about GROUP_BYTES of text, so a group
-fits a task whatever the corpus, and each group is packed alone.  A tournament
-tree over the bins' free space finds the first bin that a piece fits.  Documents
-may be cut: whole sequences first, then what is left of each document by first
-fit, then the emptiest bins are cut up to fill the others, and the one bin that
-remains is cut into powers of two, which need no padding.
+Documents are dealt by a hash into slots of about GROUP_BYTES of text.  A task reads
+its slots in order of another hash and packs group after group, each of a slot or,
+where very many rows share a slot, of the next 2 * GROUP_BYTES of it; so what a task
+holds is bounded whatever the corpus repeats.  A tournament tree over the bins' free
+space finds the first bin that a piece fits.  Documents may be cut: whole sequences
+first, then what is left of each document by first fit, then the emptiest bins are
+cut up to fill the others, and the one bin that remains is cut into powers of two,
+which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from plinth.llm.arrays import slices
 from plinth.llm.tokens import word_bpe
 
-#: Bytes of text that make a group, about.
-GROUP_BYTES = 8 << 20
+#: Bytes of text that make a group, about, and what a row counts besides its text.
+GROUP_BYTES, ROW_BYTES = 8 << 20, 64
+#: Pieces handed on at once.
+PIECES = 1024
 
 #: (document, start, length) of consecutive tokens.
 Piece = tuple[int, int, int]
@@ -106,30 +111,70 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
 
     A document's tokens are those of its whole text (null: none) and end_id.
     tokenizer: path of a vocabulary file, the same on all executors.  ids are
-    unsigned 32-bit little-endian.  Documents are grouped by a hash of doc_id, or of
-    the text where that is null; rows that share a doc_id are packed as separate
+    unsigned 32-bit little-endian.  Rows that share a doc_id are packed as separate
     documents.  An empty table gives no rows; other columns are ignored.
+
+    Slots are a hash of the row and of the partition it is read in: a partition
+    that is made again has the same rows, and rows that are equal may swap places.
+    So neither a doc_id of very many rows nor very many equal rows meet in a task.
     """
     docs = docs.select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, round(total / GROUP_BYTES))
-    group = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(seed)), F.lit(groups))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    slots = max(1, round(total / GROUP_BYTES))
+    key = F.xxhash64("doc_id", "text", F.lit(seed))
+    dealt = docs.select("doc_id", "text", key.alias("key"), F.spark_partition_id().alias("part")).withColumn("slot", F.pmod(F.xxhash64("key", "part"), F.lit(slots)))
+    ordered = dealt.drop("part").repartition("slot").sortWithinPartitions("slot", "key", "doc_id", "text").select("slot", "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
-    def pack_group(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if len(table) > 1 else table
-        base = table.column("group")[0].as_py() << 32
-        encode, texts, ids = word_bpe(tokenizer), table.column("text").combine_chunks(), []
-        for part in slices(pa.RecordBatch.from_arrays([texts if isinstance(texts, pa.Array) else texts.chunk(0)], names=["text"]), "text"):
-            ids += [np.append(x, np.array(end_id, x.dtype)) for x in encode.encode(part.column("text").to_pylist())]
-        names, rows = table.column("doc_id").to_pylist(), []
-        for i, pieces in enumerate(pack_lengths([len(x) for x in ids], capacity)):
-            offset = 0
-            for doc, start, n in pieces:
-                raw = ids[doc][start : start + n].astype("<u4").tobytes()
-                rows.append((names[doc], start, n, zlib.crc32(raw), len(ids[doc]), base + i, offset, raw if with_ids else None))
-                offset += n
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    def pieces(names: list[int | None], ids: list[np.ndarray], first: int) -> tuple[int, Iterator[pa.RecordBatch]]:
+        """The sequences that a group makes, and their pieces; sequences are numbered from `first`."""
+        sequences = pack_lengths([len(x) for x in ids], capacity)
+
+        def batches() -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            for i, sequence in enumerate(sequences):
+                offset = 0
+                for doc, start, n in sequence:
+                    raw = ids[doc][start : start + n].astype("<u4").tobytes()
+                    rows.append((names[doc], start, n, zlib.crc32(raw), len(ids[doc]), first + i, offset, raw if with_ids else None))
+                    offset += n
+                if len(rows) >= PIECES:
+                    yield _batch(rows, schema)
+                    rows = []
+            if rows:
+                yield _batch(rows, schema)
+
+        return len(sequences), batches()
+
+    def pack_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = word_bpe(tokenizer), None
+        names: list[int | None] = []
+        ids: list[np.ndarray] = []
+        slot, held, made = None, 0, 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                for at, name, text, tokens in zip(part.column("slot").to_pylist(), part.column("doc_id").to_pylist(), texts, encode.encode(texts), strict=True):
+                    if at != slot or held >= 2 * GROUP_BYTES:
+                        if ids:
+                            n, found = pieces(names, ids, (slot << 32) + made)
+                            yield from found
+                            made += n
+                        if at != slot:
+                            slot, made = at, 0
+                        names, ids, held = [], [], 0
+                    end = np.array(end_id, tokens.dtype) if end is None else end
+                    names.append(name)
+                    ids.append(np.append(tokens, end))
+                    # Characters: a bound of the tokens, which are what is held.
+                    held += len(text or "") + ROW_BYTES
+        if ids:
+            yield from pieces(names, ids, (slot << 32) + made)[1]
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.withColumn("group", group).groupBy("group").applyInArrow(pack_group, kinds)
+    return ordered.mapInArrow(pack_slots, kinds)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -5,11 +5,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plinth.llm.packing import Bins, pack, pack_lengths
 from plinth.llm.tokens import word_bpe
-from tests.llm.support import corpus, frame
+from tests.llm.support import corpus, frame, prose
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,6 +64,42 @@ def test_as_the_library_encodes(spark):
             assert b"".join(p for _, p in parts) == ids.tobytes()
 
 
+@pytest.mark.parametrize("group", [2000, 8 << 20])
+def test_a_doc_id_on_half_of_the_rows(spark, monkeypatch, group):
+    """Rows of one doc_id, equal rows, nulls and empty texts, in groups and whole slots far smaller than they are."""
+    monkeypatch.setattr("plinth.llm.packing.GROUP_BYTES", group)
+    rows = [(i, prose(i, 40), "en", "s") for i in range(60)] + [(7, prose(100 + i, 40), "en", "s") for i in range(40)]
+    rows += [(8, "same words again", "en", "s")] * 60 + [(None, None, None, None)] * 30 + [(9, "", "en", "s")] * 30
+    docs = frame(spark, rows).repartition(5)
+    found = pack(docs, PATH).collect()
+    library, expected, got = Tokenizer.from_file(PATH), collections.Counter(), collections.defaultdict(list)
+    for i, text, *_ in rows:
+        expected[i] += len(library.encode(text or "", add_special_tokens=False).ids) + 1
+    for r in found:
+        got[r["doc_id"]].append(r["length"])
+    assert {i: sum(n) for i, n in got.items()} == dict(expected)
+    sequences = collections.defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at == 4096 or at & (at - 1) == 0
+    if group == 2000:
+        slot = {r["sequence_id"] >> 32 for r in found if r["doc_id"] == 8}
+        assert len({r["sequence_id"] >> 32 for r in found if r["doc_id"] == 7}) > 5 and len(slot) > 1
+
+
+def test_made_again_in_another_order(spark):
+    """Partitions whose rows come in another order give the same pieces."""
+    rows = [(i % 50, prose(i % 70, 30), "en", "s") for i in range(300)]
+    docs = frame(spark, rows).repartition(3, "doc_id")
+    pick = lambda df: sorted(tuple(r) for r in pack(df, PATH).collect())
+    assert pick(docs.sortWithinPartitions("text")) == pick(docs.sortWithinPartitions(F.desc("text")))
+
+
 def test_empty(spark):
     assert pack(frame(spark, []), PATH).collect() == []
     assert [(r["length"], r["doc_tokens"]) for r in pack(frame(spark, [(1, None, None, None)]), PATH).collect()] == [(1, 1)]
