@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import language, mixing, nearcopies, packing, personal
-from plinth.llm.common import bounded_batches, cut, stored, table
+from plinth.llm.common import bounded_batches, cut, dropped, stored, table
 
 #: Least posterior of the predicted language.
 LEAST_SCORE = 0.5
@@ -70,8 +70,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what each one keeps is written as Parquet in the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir))
+        if i:
+            dropped(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
