@@ -34,27 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the shared folder until it is no longer referred to."""
-    shared_folder(df.sparkSession)
-    # Read when a checkpoint is made: its files go with the last DataFrame that reads them.
-    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: written as Parquet below the shared folder, and read again with the sizes that it has there.
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet below the shared folder, and read again: for wide tables that several jobs read.
-
-    The files go when the driver ends, or before by dropped().
+    A checkpoint would keep the estimate of its plan, in which every join multiplies
+    the sizes of its sides; after some rounds of joins such numbers have millions of
+    digits.  The files go when the driver ends, or before by dropped().
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    files, place = _files(df.sparkSession, path)
+    files, place = _files(spark, path)
     files.deleteOnExit(place)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: The same for wide tables that several jobs read.
+stored = cut
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files that stored() wrote for df, once nothing reads them any more."""
+    """Deletes the files that cut() wrote for df, once nothing reads them any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if f.rsplit("/", 1)[0].endswith(".parquet")}:
         files, place = _files(df.sparkSession, path)
         files.delete(place, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut
+from plinth.llm.common import cut, dropped
 
 
 def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -21,7 +21,9 @@ def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
+    out = cut(out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    dropped(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,4 +41,7 @@ def components(links: DataFrame) -> DataFrame:
         if not now[0] or now == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = now
-        links = cut(_stars(cut(_stars(links, True)), False))
+        half = _stars(links, True)
+        dropped(links)
+        links = _stars(half, False)
+        dropped(half)

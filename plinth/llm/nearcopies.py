@@ -8,11 +8,15 @@ counting bits.  Candidates are confirmed on whole sets:
 1. every class against the best-connected class of each of its buckets;
 2. then, within buckets that still hold several components, only pairs across
    components that can be linked at all: by their sizes, by the estimate, and by
-   what is known exactly of each, namely the shingles that no other text of those
-   buckets has, and how its set compares with that of the bucket's pivot.
-
-So a group of copies costs about a comparison for each member and not one for each
-pair, while no pair of classes that could still join two components is skipped.
+   what is known exactly of each, namely the shingles that no other text or no
+   other component of those buckets has, and how its set compares with that of the
+   bucket's pivot.
+
+Before any two meet in step 2, a class leaves a bucket where its own shingles and
+the fewest own ones of another component there rule out all partners.  So a group
+of copies, and a group of texts of one template, cost about a comparison for each
+member and not one for each pair, while no pair of classes that could still join
+two components is skipped.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SHINGLE, MINIMA, ROWS, BITS = 5, 128, 4, 4
 PACKED = MINIMA * BITS // 64
 #: A candidate goes if its estimate is this far (five deviations) below the threshold.
 MARGIN = 0.2
+#: Classes of a bucket that meet in one task; larger buckets are spread over a grid of tasks.
+CELL = 512
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -148,8 +154,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long, shared long, size long, link boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("size").alias("size"), F.max("link").alias("link"))
 
 
-def _alone(texts: DataFrame) -> DataFrame:
-    """(class, alone): how many shingles of each text none of the other texts has."""
+def _own(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(class, alone, own): how many shingles of each class no other text has, and how many no other component (of placed: class, component)."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +164,22 @@ def _alone(texts: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["class", "h"])
 
-    once = texts.mapInArrow(shingles, "class long, h long").groupBy("h").agg(F.min("class").alias("class"), F.count("*").alias("n")).filter("n = 1")
-    return once.groupBy("class").agg(F.count("*").alias("alone"))
+    found = cut(texts.mapInArrow(shingles, "class long, h long").join(placed, "class"))
+    holders = found.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("class").alias("a"), F.max("class").alias("b"))
+    single = cut(holders.filter("lo = hi").select("h", (F.col("a") == F.col("b")).alias("alone")))
+    return found.join(single, "h").groupBy("class").agg(F.count_if("alone").alias("alone"), F.count("*").alias("own"))
+
+
+def _with_partners(side: DataFrame) -> DataFrame:
+    """Rows of side (band, component, need) with need + another's need <= 0 for some row of the band in another component.
+
+    Only the least need of each component counts, and of these the two least.
+    """
+    least = cut(side.groupBy("band", "component").agg(F.min("need").alias("need")))
+    first = cut(least.groupBy("band").agg(F.min(F.struct("need", "component")).alias("f")).select("band", F.col("f.need").alias("n1"), F.col("f.component").alias("c1")))
+    second = cut(least.join(first, "band").filter("component != c1").groupBy("band").agg(F.min("need").alias("n2")))
+    kept = side.join(first, "band").join(second, "band").filter(F.col("need") + F.when(F.col("component") == F.col("c1"), F.col("n2")).otherwise(F.col("n1")) <= 0)
+    return kept.drop("n1", "c1", "n2")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -193,7 +213,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     x, y = (stats.alias(k).withColumnRenamed("class", "id").alias(k) for k in "xy")
     likely = cut(pairs.join(x, F.col("x") == F.col("x.id")).join(y, F.col("y") == F.col("y.id")).filter(_possible("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     tried = cut(_compared(likely, texts, percent))
-    links = tried.filter("link").select("a", "b")
+    # A doc_id whose texts are in several classes links these.
+    spread = cut(members.groupBy("doc_id").agg(F.min("class").alias("b"), F.max("class").alias("most")).filter("b < most").select("doc_id", "b"))
+    links = tried.filter("link").select("a", "b").unionByName(members.join(spread, "doc_id").filter("class > b").select(F.col("class").alias("a"), "b"))
     found = cut(components(links))
 
     # What could still join two components.
@@ -202,17 +224,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Two sets differ at least in: the shingles that nothing else has; what more of their other shingles outside
     # of the pivot's set one of them has; and how many more of the pivot's one of them misses.
     against = tried.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "shared", (F.col("size") - F.col("shared")).alias("miss"))
+    # Of a doc_id with several texts such counts would be of all of them; it goes without.
+    several = cut(stats.groupBy("class").agg(F.count("*").alias("n")).filter("n > 1").select("class"))
+    against = against.join(several, "class", "left_anti").join(several.withColumnRenamed("class", "pivot"), "pivot", "left_anti")
     # Pairs with the pivot itself are decided.
     left = cut(placed.join(split, "band").join(pivots, "band").filter("class != pivot"))
-    population = left.select(F.col("class").alias("doc_id")).unionByName(left.select(F.col("pivot").alias("doc_id")))
-    alone = _alone(texts.join(population, "doc_id", "left_semi"))
-    side = left.join(against, ["class", "pivot"], "left").join(stats, "class").join(alone, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    side = cut(side.withColumn("other", F.col("n_shingles") - F.col("shared") - F.col("alone")).withColumn("place", F.array_position("bands", F.col("band"))).drop("shared"))
-    x, y = side.alias("x"), side.alias("y")
+    population = cut(left.select("class").unionByName(left.select(F.col("pivot").alias("class"))).distinct())
+    population = population.join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"))
+    own = _own(texts.join(population.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"), population)
+    own = cut(own.join(several, "class", "left_anti"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    sized = left.join(stats.select("class", "n_shingles"), "class").join(own, "class", "left").select(*left.columns, "n_shingles", zero("alone"), zero("own"))
+    # A pair needs (100 + percent) * difference <= (100 - percent) * both sizes, and what each has of its own differs.
+    able = cut(_with_partners(sized.withColumn("need", (100 + percent) * F.col("own") - (100 - percent) * F.col("n_shingles"))))
+    side = able.drop("n_shingles").join(against, ["class", "pivot"], "left").join(stats, "class")
+    side = side.withColumn("other", F.col("n_shingles") - F.col("shared") - F.col("alone")).withColumn("place", F.array_position("bands", F.col("band"))).drop("shared")
+    grid = cut(able.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k")))
+    side = cut(side.join(grid, "band").withColumn("part", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    x, y = side.select("*", F.col("part").alias("i"), every.alias("j")).alias("x"), side.select("*", every.alias("i"), F.col("part").alias("j")).alias("y")
     more_of = lambda c: F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")), F.lit(0))
     apart = F.col("x.alone") + F.col("y.alone") + more_of("other") + more_of("miss")
     near = (100 + percent) * apart <= (100 - percent) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & near & _possible("x", "y", percent)
+    near &= F.col("x.need") + F.col("y.need") <= 0
+    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.component") < F.col("y.component")) & near & _possible("x", "y", percent)
     # A pair comes from the first bucket that has both.
     across &= F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.place")
     rest = x.join(y, across).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()

@@ -1,5 +1,6 @@
 import pytest
 
+from plinth.llm import nearcopies
 from plinth.llm.graph import components
 from plinth.llm.nearcopies import near_duplicates
 from tests.llm.support import corpus, edited, frame, prose, words
@@ -51,6 +52,58 @@ def test_a_group_of_many_near_copies(spark):
     assert found == brute(rows) and len({r[2] for r in found}) > 1
 
 
+def test_rows_that_share_a_doc_id(spark):
+    rows = [(i % 40, edited(prose(i % 7, 60, 5000), i, 0.03 * (i % 5)), "en", "s") for i in range(120)]
+    sets = [(i, shingles(t)) for i, t, *_ in rows]
+    links = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if i != j and 100 * len(a & b) >= 75 * len(a | b)]
+    comp = reach({i for i, _ in sets}, links)
+    assert run(spark, rows) == sorted({(i, len(a), comp[i], comp[i] == i) for i, a in sets})
+
+
+def counted(monkeypatch):
+    """Lists of how many pairs are compared, and how many rows of unlinked classes meet in buckets, from now on."""
+    compared, met = [], []
+    compare, partners = nearcopies._compared, nearcopies._with_partners
+
+    def count_compared(pairs, *more):
+        compared.append(pairs.count())
+        return compare(pairs, *more)
+
+    def count_met(side):
+        out = partners(side).cache()
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "_compared", count_compared)
+    monkeypatch.setattr(nearcopies, "_with_partners", count_met)
+    return compared, met
+
+
+def test_many_texts_of_one_template(spark, monkeypatch):
+    """Similarity of about 0.6 to 0.74 to each other: buckets of thousands without a link, which must not be compared pair by pair."""
+    base = prose(1, 120, 50_000)
+    texts = [edited(base, i, 0.035 + 0.0001 * (i % 100)) for i in range(3000)]
+    sets = [shingles(t) for t in texts]
+    root = shingles(base)
+    # Edits are new words, so two texts share what both kept of the template.
+    kept = [s & root for s in sets]
+    compared, met = counted(monkeypatch)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert sum(compared) < 40 * len(texts)
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(kept[a] & kept[b]) >= 75 * (len(sets[a]) + len(sets[b]) - len(kept[a] & kept[b]))]
+    assert found == reach(range(len(sets)), links)
+    print("template:", compared, met)
+
+
+def test_large_buckets_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "CELL", 3)
+    base = prose(2, 80, 5000)
+    pool = [prose(50 + i, 20, 5000) for i in range(12)]
+    # Texts of a template with passages of a pool: none has shingles of its own.
+    rows = [(i, base + " " + pool[i % 12] + " " + pool[(i * 5 + i // 12) % 12], "en", "s") for i in range(100)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_the_threshold_itself(spark):
     # 8 words are 4 shingles, 7 words 3 of them: exactly three quarters.
     rows = [(1, "a b c d e f g h", "en", "s"), (2, "a b c d e f g", "en", "s"), (3, "a b c d e f", "en", "s"), (4, "A B C D E F G", "en", "s"), (5, "É b", "en", "s"), (6, "é b", "en", "s")]
