@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +20,25 @@ from plinth.sources.tables import Table, ordered_parquet
 from plinth.types import ColumnType, Schema
 
 
+#: (statement, catalog, options, join algorithm) -> plan; (plan, context) -> result.
+Compiler = Callable[[str, Catalog, Options, str], Plan]
+Executor = Callable[[Plan, Context], Result]
+
+
 class Engine:
     """Runs strict-subset SQL and plans as Spark DataFrames.
 
     ordered: what results are sorted by without being asked to: "groups" (grouped
-    results come in key order), "all" (scans in row order as well), "none".
+    results come in key order), "all" (scans and joins in row order as well), "none".
+    compiler, executor: what turns a statement into a plan, and a plan into a result,
+    in place of the engine's own.
     """
 
-    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, store: Store | None = None, options: Options | None = None, spill_hook: SpillHook | None = None, ordered: str = "groups"):
-        self.spark, self.store, self.options = spark, store, options or Options()
+    def __init__(
+        self, spark: SparkSession, catalog: Catalog | None = None, store: Store | None = None, options: Options | None = None, spill_hook: SpillHook | None = None, ordered: str = "groups",
+        compiler: Compiler = compile_sql, executor: Executor = lower,
+    ):
+        self.spark, self.store, self.options, self.compiler, self.executor = spark, store, options or Options(), compiler, executor
         self.catalog = store.catalog if store else catalog if catalog is not None else Catalog()
         self._context = Context(self.catalog, spill_hook, ordered)
 
@@ -51,19 +61,19 @@ class Engine:
 
     def register_parquet(self, name: str, path: str) -> Table:
         """A table of Parquet files, its rows ordered by file and place."""
-        return self.register(name, ordered_parquet(self.spark, path))
+        return self.catalog.register(Table.over(self.spark, name, ordered_parquet(self.spark, path), files=True))
 
     def register_csv(self, name: str, path: str, schema: Schema, header: bool = True) -> Table:
         return self.register(name, self.spark.read.csv(path, schema=schema.to_spark(), header=header))
 
     def compile(self, sql: str, options: Options | None = None, algorithm: str = AUTO) -> Plan:
-        return compile_sql(sql, self.catalog, options or self.options, algorithm)
+        return self.compiler(sql, self.catalog, options or self.options, algorithm)
 
     def execute_sql(self, sql: str, options: Options | None = None, algorithm: str = AUTO) -> Result:
         return self.execute_plan(self.compile(sql, options, algorithm))
 
     def execute_plan(self, plan: Plan) -> Result:
-        return lower(plan, self._context)
+        return self.executor(plan, self._context)
 
     def table(self, name: str) -> Query:
         """A statement over a table, to be built by calls."""

@@ -30,7 +30,7 @@ SpillHook = Callable[[str], None]
 
 @dataclass
 class Context:
-    """ordered: what is sorted without being asked to: "groups" (the default), "all" (scans in row order too) or "none"."""
+    """ordered: what is sorted without being asked to: "groups" (the default), "all" (scans and joins in row order too) or "none"."""
 
     catalog: Catalog
     spill_hook: SpillHook | None = None
@@ -40,15 +40,18 @@ class Context:
 class Input:
     """A table's filtered rows under unique internal names."""
 
-    def __init__(self, table: Table, filters: tuple[Filter, ...], prefix: str):
-        self.table, self.prefix = table, prefix
-        schema = table.schema
-        df = table.frame()
-        for f in filters:
+    def __init__(self, table: Table, filters: tuple[Filter, ...], prefix: str, frame: DataFrame | None = None):
+        self.table, self.filters, self.prefix = table, filters, prefix
+        self.df = self.of(table.frame() if frame is None else frame)
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """The filtered rows of some of the table's rows, with the hidden columns where these are there."""
+        for f in self.filters:
             column = self.check(f.column)
             check_filter(column, f.operator)
             df = df.filter(compare(F.col(f"`{column.name}`"), column.type, f.operator, f.value))
-        self.df = df.select(*(F.col(f"`{c.name}`").alias(self.name(i)) for i, c in enumerate(schema)), F.col(BATCH).alias(f"{prefix}{BATCH}"), F.col(ROW).alias(f"{prefix}{ROW}"))
+        hidden = [F.col(c).alias(f"{self.prefix}{c}") for c in (BATCH, ROW) if c in df.columns]
+        return df.select(*(F.col(f"`{c.name}`").alias(self.name(i)) for i, c in enumerate(self.table.schema)), *hidden)
 
     def check(self, place: int) -> Column:
         if not 0 <= place < len(self.table.schema):
@@ -63,6 +66,15 @@ class Input:
         return [F.col(f"{self.prefix}{BATCH}").asc(), F.col(f"{self.prefix}{ROW}").asc()]
 
 
+def _first(source: Input, limit: int, of: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """`of` the source's rows, or of its first files' if these alone give `limit` rows, so that a limit reads few files of many."""
+    for prefix in source.table.prefixes():
+        rows = of(source.of(prefix))
+        if rows.limit(limit).count() == limit:
+            return rows
+    return of(source.df)
+
+
 def _dealt(df: DataFrame, options: Options) -> DataFrame:
     return df if options.parallelism < 0 else df.coalesce(max(1, options.parallelism))
 
@@ -91,10 +103,10 @@ def _(plan: ScanPlan, context: Context) -> Result:
         return Result(plan, both.select(both.columns[0]), both)
     columns = [(source.name(i), source.check(i).name) for i in plan.columns]
     rows = source.df.orderBy(*source.places) if context.ordered == "all" else source.df
-    return Result(plan, _dealt(_project(rows, columns), plan.options))
+    return Result(plan, _dealt(project(rows, columns), plan.options))
 
 
-def _project(df: DataFrame, columns: list[tuple[str, str]], unique: bool = False) -> DataFrame:
+def project(df: DataFrame, columns: list[tuple[str, str]], unique: bool = False) -> DataFrame:
     names = output_names([n for _, n in columns], unique)
     return df.select(*(F.col(c).alias(n) for (c, _), n in zip(columns, names, strict=True)))
 
@@ -103,7 +115,7 @@ def _call_name(function: str, column: Column | None, prefix: str = "") -> str:
     return f"{function.lower()}_{'star' if column is None else prefix + column.name}"
 
 
-def _grouped(df: DataFrame, columns: list[tuple[str, Column, str]], g: Grouping, options: Options, ordered: bool) -> DataFrame:
+def grouped(df: DataFrame, columns: list[tuple[str, Column, str]], g: Grouping, options: Options, ordered: bool) -> DataFrame:
     """columns: internal name, column, and name in the output, of all that can be grouped or aggregated."""
     for i in (*g.keys, *(a.column for a in g.aggregates if a.column is not None)):
         if not 0 <= i < len(columns):
@@ -126,25 +138,25 @@ def _grouped(df: DataFrame, columns: list[tuple[str, Column, str]], g: Grouping,
         else:
             a = g.aggregates[i]
             shown.append((f"a{i}", f"{a.function.lower()}_{'star' if a.column is None else columns[a.column][2]}"))
-    return _project(out, shown)
+    return project(out, shown)
 
 
 @lower.register
 def _(plan: GroupPlan, context: Context) -> Result:
     source = Input(context.catalog[plan.table], plan.filters, "c")
     columns = [(source.name(i), c, c.name) for i, c in enumerate(source.table.schema)]
-    out = _grouped(source.df, columns, plan.grouping, plan.options, context.ordered != "none")
+    out = grouped(source.df, columns, plan.grouping, plan.options, context.ordered != "none")
     if context.spill_hook and plan.options.spill_threshold is not None:
-        _tell(source, plan.grouping, plan.options.spill_threshold, context.spill_hook)
+        batch = F.substring_index(f"c{BATCH}", "|", 1).cast("int")
+        _tell(source.df, [columns[k] for k in plan.grouping.keys], batch, plan.options.spill_threshold, context.spill_hook)
     return Result(plan, _dealt(out, plan.options))
 
 
-def _tell(source: Input, g: Grouping, threshold: int, hook: SpillHook) -> None:
+def _tell(df: DataFrame, keys: list[tuple[str, Column, str]], batch: SparkColumn, threshold: int, hook: SpillHook) -> None:
     """One line for each batch that has at least `threshold` groups; the result doesn't depend on it."""
-    text = any(source.table.schema[k].type is ColumnType.UTF8 for k in g.keys)
-    keys = F.struct(*(F.col(source.name(k)) for k in g.keys))
-    batch = F.substring_index(f"c{BATCH}", "|", 1).cast("int").alias("batch")
-    many = source.df.groupBy(batch).agg(F.count_distinct(keys).alias("n")).filter(F.col("n") >= threshold).orderBy("batch")
+    text = any(c.type is ColumnType.UTF8 for _, c, _ in keys)
+    groups = F.struct(*(F.col(name) for name, _, _ in keys))
+    many = df.groupBy(batch.alias("batch")).agg(F.count_distinct(groups).alias("n")).filter(F.col("n") >= threshold).orderBy("batch")
     for row in many.toLocalIterator():
         hook(json.dumps({"op": "hash_agg_partial_utf8" if text else "hash_agg_partial", "batch": row["batch"], "entries": row["n"]}))
 
@@ -156,13 +168,14 @@ def _(plan: SortPlan, context: Context) -> Result:
     for i, descending in plan.keys:
         check_key(source.check(i), "ORDER BY")
         keys += order(F.col(source.name(i)), source.check(i).type, descending, plan.options.nan_first)
-    rows = source.df.orderBy(*(keys or source.places))
+    rows = (source.df if keys else _first(source, plan.limit)).orderBy(*(keys or source.places))
     if plan.limit is not None:
         rows = rows.limit(plan.limit)
-    return Result(plan, _project(rows, [(source.name(i), source.check(i).name) for i in plan.columns]))
+    return Result(plan, project(rows, [(source.name(i), source.check(i).name) for i in plan.columns]))
 
 
-def _joined(plan: JoinPlan, context: Context) -> tuple[DataFrame, Input, Input]:
+def _joined(plan: JoinPlan, context: Context) -> tuple[Callable[[DataFrame], DataFrame], Input, Input]:
+    """What joins rows of the left side with the right one, and both sides."""
     left, right = Input(context.catalog[plan.left], plan.left_filters, "l"), Input(context.catalog[plan.right], plan.right_filters, "r")
     on = []
     for a, b in zip(plan.left_keys, plan.right_keys, strict=True):
@@ -171,7 +184,8 @@ def _joined(plan: JoinPlan, context: Context) -> tuple[DataFrame, Input, Input]:
         on.append(F.col(left.name(a)) == F.col(right.name(b)))
     hint = {HASH: "shuffle_hash", MERGE: "merge"}.get(plan.algorithm)
     # The right side is the build side of a hash join.
-    return left.df.join(right.df.hint(hint) if hint else right.df, on, "inner"), left, right
+    join = lambda df: df.join(right.df.hint(hint) if hint else right.df, on, "inner")
+    return join, left, right
 
 
 def _join_output(plan: JoinPlan, left: Input, right: Input) -> list[tuple[str, str]]:
@@ -181,13 +195,18 @@ def _join_output(plan: JoinPlan, left: Input, right: Input) -> list[tuple[str, s
 
 @lower.register
 def _(plan: JoinPlan, context: Context) -> Result:
-    df, left, right = _joined(plan, context)
-    return Result(plan, _dealt(_project(df, _join_output(plan, left, right), unique=True), plan.options))
+    join, left, right = _joined(plan, context)
+    df = join(left.df)
+    if context.ordered == "all":
+        # A merge goes by keys, other joins by the left rows; both then by the order of rows.
+        keys = [F.col(left.name(i)).asc() for i in plan.left_keys] if plan.algorithm == MERGE else []
+        df = df.orderBy(*keys, *left.places, *right.places)
+    return Result(plan, _dealt(project(df, _join_output(plan, left, right), unique=True), plan.options))
 
 
 @lower.register
 def _(plan: JoinSortPlan, context: Context) -> Result:
-    df, left, right = _joined(plan.join, context)
+    join, left, right = _joined(plan.join, context)
     output = _join_output(plan.join, left, right)
     keys = []
     for place, descending in plan.keys:
@@ -197,14 +216,19 @@ def _(plan: JoinSortPlan, context: Context) -> Result:
         column = (left, right)[side].check(i)
         check_key(column, "ORDER BY")
         keys += order(F.col(output[place][0]), column.type, descending, plan.join.options.nan_first)
+    df = join(left.df) if keys else _first(left, plan.limit, join)
     rows = df.orderBy(*(keys or [*left.places, *right.places]))
     if plan.limit is not None:
         rows = rows.limit(plan.limit)
-    return Result(plan, _project(rows, output, unique=True))
+    return Result(plan, project(rows, output, unique=True))
 
 
 @lower.register
 def _(plan: GroupedJoinPlan, context: Context) -> Result:
-    df, left, right = _joined(plan.join, context)
+    join, left, right = _joined(plan.join, context)
+    df = join(left.df)
     columns = [(s.name(i), c, f"{s.table.name}_{c.name}") for s in (left, right) for i, c in enumerate(s.table.schema)]
-    return Result(plan, _dealt(_grouped(df, columns, plan.grouping, plan.join.options, context.ordered != "none"), plan.join.options))
+    if context.spill_hook and plan.join.options.spill_threshold is not None:
+        # The rows of a join are one batch.
+        _tell(df, [columns[k] for k in plan.grouping.keys], F.lit(0), plan.join.options.spill_threshold, context.spill_hook)
+    return Result(plan, _dealt(grouped(df, columns, plan.grouping, plan.join.options, context.ordered != "none"), plan.join.options))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.engine import Engine
 from plinth.plans.physical import HASH, MERGE, Aggregate, Filter, Grouping, GroupPlan, JoinPlan, Options, ScanPlan, SortPlan
-from plinth.sources import batchfile, spark_formats
+from plinth.sources import batchfile, columnfile, spark_formats
+from plinth.sources.files import scratch
 from plinth.sources.store import export_snapshot, import_snapshot
 from plinth.types import ColumnType as C
+from plinth.types import Schema
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -49,7 +52,7 @@ SQL: dict[str, tuple[str, str]] = {
     "project_list": ("SELECT c_name, c_acctbal FROM customer", "SELECT c_name, c_acctbal FROM customer"),
     "project_reordered": ("SELECT customer.c_acctbal, c_custkey, c_name FROM customer", "SELECT c_acctbal, c_custkey, c_name FROM customer"),
     "project_repeated": ("SELECT r_name, r_name FROM region", "SELECT r_name, r_name AS r_name_2 FROM region"),
-    "project_opaque": ("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey < 500", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey < 500"),
+    "project_opaque": ("SELECT o_orderkey, o_orderdate FROM orders", "SELECT o_orderkey, o_orderdate FROM orders"),
     "filter_utf8_eq": ("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "filter_utf8_ne": ("SELECT o_orderkey FROM orders WHERE o_orderstatus != 'O'", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'"),
     "filter_utf8_quote": ("SELECT c_custkey FROM customer WHERE c_name <> 'it''s'", "SELECT c_custkey FROM customer WHERE c_name <> 'it''s'"),
@@ -125,44 +128,86 @@ def _contributing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(result.value(), result.contributing_rows())], "value double, contributing long")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder for a round trip: below the one that driver and executors share, where the session names it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="plinth-", dir=shared.removeprefix("file://") if shared and shared.startswith("file:/") else None)
+_ORDERS = [("o_orderkey", C.INT64), ("o_totalprice", C.FLOAT64), ("o_orderstatus", C.UTF8)]
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(*(n for n, _ in _ORDERS))
 
 
 def _persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, rows = _folder(spark), _nations(spark, sf_dir)
-    table = Engine.open(spark, folder).create_table("nation", [("n_nationkey", C.INT32), ("n_name", C.UTF8), ("n_regionkey", C.INT32)])
-    table.append(rows.filter("n_regionkey < 2"))
-    table.append(rows.filter("n_regionkey >= 2"))
-    return Engine.open(spark, folder).sql("SELECT n_regionkey, COUNT(*) FROM nation GROUP BY n_regionkey")
+    """Orders as two batches of a durable table, read by another engine."""
+    folder, rows = scratch(spark), _orders(spark, sf_dir)
+    table = Engine.open(spark, folder).create_table("orders", _ORDERS)
+    table.append(rows.filter("o_totalprice < 100000"))
+    table.append(rows.filter("o_totalprice >= 100000"))
+    return Engine.open(spark, folder).sql("SELECT o_orderstatus, COUNT(*), MAX(o_totalprice) FROM orders GROUP BY o_orderstatus")
 
 
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
-    export_snapshot(engine(spark, sf_dir, "region", "nation").catalog, folder)
-    return Engine(spark, import_snapshot(spark, folder)).sql("SELECT * FROM nation INNER JOIN region ON nation.n_regionkey = region.r_regionkey")
+    folder = scratch(spark)
+    export_snapshot(engine(spark, sf_dir, "customer", "nation").catalog, folder, spark)
+    return Engine(spark, import_snapshot(spark, folder)).sql("SELECT c_custkey, n_name FROM customer INNER JOIN nation ON customer.c_nationkey = nation.n_nationkey")
+
+
+def _local(folder: str) -> str:
+    """A folder as workers' plain files reach it; the binary formats know no other file systems."""
+    return folder[folder.index("/") :] if folder.startswith("file:") else folder
 
 
 def _batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark_formats.register(spark)
-    folder, rows = _folder(spark), _nations(spark, sf_dir)
+    folder, rows = _local(scratch(spark)), _orders(spark, sf_dir)
     rows.write.format("plinth_batch").mode("append").save(folder)
     return spark.read.format("plinth_batch").schema(rows.schema).load(folder)
 
 
+def _column_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of nations as column files; the driver writes them, and the table has a handful of rows whatever the scale."""
+    spark_formats.register(spark)
+    folder, rows = _local(scratch(spark)), spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
+    for name, column in zip(rows.columns, rows.toArrow().combine_chunks().columns, strict=True):
+        columnfile.write(os.path.join(folder, f"{name}.col"), pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type))
+    return spark.read.format("plinth_column").schema(rows.schema).load(folder)
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, rows = scratch(spark), _orders(spark, sf_dir)
+    rows.write.csv(f"{folder}/csv", header=True)
+    e = Engine(spark)
+    e.register_csv("orders", f"{folder}/csv", Schema(_ORDERS))
+    return e.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+
+
 def _codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions through bytes and back; the table has a handful of rows whatever the scale."""
-    rows = spark.read.parquet(f"{sf_dir}/region.parquet").toArrow().combine_chunks().to_batches()[0]
-    back = batchfile.decode(batchfile.encode(rows), rows.schema.names)
+    names, kinds = ["r_regionkey", "r_name"], [pa.int32(), pa.string()]
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").select(*names).toArrow()
+    columns = [pa.array(rows.column(n).to_pylist(), k) for n, k in zip(names, kinds, strict=True)]
+    back = batchfile.decode(batchfile.encode(pa.RecordBatch.from_arrays(columns, names=names)), names)
     return spark.createDataFrame(back.to_pylist(), T.StructType([T.StructField("r_regionkey", T.IntegerType()), T.StructField("r_name", T.StringType())]))
 
 
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, "part").table("part").where("p_size", ">", 40).select("p_partkey", "p_size").order_by("p_size").order_by("p_partkey").limit(25).run().df
+
+
+def _spilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the metrics hook hears of a grouped scan and a grouped join of orders with more groups than the threshold."""
+    told: list[str] = []
+    e = engine(spark, sf_dir, "orders", "customer")
+    e = Engine(spark, e.catalog, spill_hook=told.append, options=Options(spill_threshold=3))
+    e.sql("SELECT o_orderpriority, COUNT(*) FROM orders GROUP BY o_orderpriority")
+    e.sql("SELECT customer.c_mktsegment, COUNT(*) FROM orders INNER JOIN customer ON orders.o_custkey = customer.c_custkey GROUP BY customer.c_mktsegment")
+    return spark.createDataFrame([(line,) for line in told], "line string")
+
+
+def _by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "documents")
+    _derived(e, spark, sf_dir)
+    return e.sql(SQL["join_utf8_key"][0], algorithm=MERGE)
+
+
 def _fixture(columns: list[tuple[str, C]], rows: list[tuple], sql: str, **more: object) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = Engine(spark)
@@ -194,9 +239,16 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "plan_sort": (_plan(lambda e: SortPlan(_ID(e, "part"), (0, 5), ((5, True), (0, False)), 12), "part"), "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 12"),
     "plan_merge_join": (_plan(lambda e: JoinPlan(_ID(e, "supplier"), _ID(e, "nation"), (2,), (0,), ((0, 1), (1, 1)), algorithm=MERGE), "supplier", "nation"), "SELECT s_name AS supplier_s_name, n_name AS nation_n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "contributing_rows": (_contributing, "SELECT SUM(l_quantity) AS value, COUNT(l_quantity) AS contributing FROM lineitem WHERE l_returnflag = 'A'"),
-    "persist_roundtrip": (_persisted, "SELECT n_regionkey, COUNT(*) AS count_star FROM nation GROUP BY n_regionkey"),
-    "export_import": (_exported, SQL["join_star"][1]),
-    "batch_files": (_batch_files, "SELECT * FROM nation"),
+    "persist_roundtrip": (_persisted, "SELECT o_orderstatus, COUNT(*) AS count_star, MAX(o_totalprice) AS max_o_totalprice FROM orders GROUP BY o_orderstatus"),
+    "export_import": (_exported, "SELECT c_custkey AS customer_c_custkey, n_name AS nation_n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "batch_files": (_batch_files, "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders"),
+    "column_files": (_column_files, "SELECT n_nationkey, n_regionkey FROM nation"),
+    "csv_scan": (_csv, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"),
+    "built_statement": (_built, "SELECT p_partkey, p_size FROM part WHERE p_size > 40 ORDER BY p_size, p_partkey LIMIT 25"),
+    "spill_lines": (_spilled, """
+        SELECT '{"op": "hash_agg_partial_utf8", "batch": 0, "entries": ' || count(DISTINCT o_orderpriority) || '}' AS line FROM orders
+        UNION ALL SELECT '{"op": "hash_agg_partial_utf8", "batch": 0, "entries": ' || count(DISTINCT c_mktsegment) || '}' FROM orders JOIN customer ON o_custkey = c_custkey"""),
+    "join_utf8_merge": (_by_text, SQL["join_utf8_key"][1]),
     "codec_roundtrip": (_codec, "SELECT * FROM region"),
     "null_groups": (_fixture(*_N1, "SELECT k, g, SUM(x), COUNT(x), COUNT(*) FROM t GROUP BY k, g"), f"SELECT k, g, SUM(x) AS sum_x, COUNT(x) AS count_x, COUNT(*) AS count_star FROM {_V1} GROUP BY k, g"),
     "null_filter": (_fixture(*_N1, "SELECT k FROM t WHERE k <> 1"), f"SELECT k FROM {_V1} WHERE k <> 1"),

@@ -1,7 +1,7 @@
 """The binary formats as Spark data sources, for import and export.
 
 Batches ("plinth_batch"): a folder of *.batch files, a partition for each, read in
-order of their names; written one file per non-empty task.  Columns
+order of their names; a task writes a file for about every FILE_BYTES.  Columns
 ("plinth_column"): a folder of <column>.col files of as many rows each.
 
     spark.read.format("plinth_batch").schema(schema).load(folder)
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from plinth.errors import FormatError
@@ -27,6 +27,10 @@ from plinth.sources import batchfile, columnfile
 from plinth.types import Schema
 
 
+#: Bytes of Arrow data that a task gathers for a file.
+FILE_BYTES = 64 << 20
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -60,35 +64,46 @@ class ColumnReader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, temporary: str | None, final: str | None):
-        self.temporary, self.final = temporary, final
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
 
-class BatchWriter(DataSourceWriter):
-    """Each task writes one file beside its final name; all of them get their names when every task has succeeded."""
+class BatchWriter(DataSourceArrowWriter):
+    """Each task writes files beside their final names; all of them get their names when every task has succeeded."""
 
     def __init__(self, schema: StructType, path: str, overwrite: bool):
         self.names, self.path, self.overwrite, self.run = schema.names, path, overwrite, uuid.uuid4().hex
         self.types = [batchfile.ARROW[c.type] for c in Schema.from_spark(schema)]
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        held = [tuple(r) for r in rows]
-        if not held:
-            return _Written(None, None)
-        columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), self.types, strict=True)]
-        os.makedirs(self.path, exist_ok=True)
-        place = TaskContext.get().partitionId()
-        temporary = os.path.join(self.path, f".{self.run}-{place:06d}-{uuid.uuid4().hex}.tmp")
-        with open(temporary, "wb") as file:
-            file.write(batchfile.encode(pa.RecordBatch.from_arrays(columns, names=self.names)))
-        return _Written(temporary, f"{place:06d}")
+        place, files = TaskContext.get().partitionId(), []
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            os.makedirs(self.path, exist_ok=True)
+            temporary = os.path.join(self.path, f".{self.run}-{place:06d}-{uuid.uuid4().hex}.tmp")
+            whole = pa.concat_batches(held)
+            columns = [c.cast(t) for c, t in zip(whole.columns, self.types, strict=True)]
+            with open(temporary, "wb") as file:
+                file.write(batchfile.encode(pa.RecordBatch.from_arrays(columns, names=self.names)))
+            files.append((f"{place:06d}-{len(files):06d}", temporary))
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= FILE_BYTES:
+                flush()
+        if held:
+            flush()
+        return _Written(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         os.makedirs(self.path, exist_ok=True)
         there = sorted(glob.glob(os.path.join(self.path, "*.batch")))
-        done = sorted((m.final, m.temporary) for m in messages if m and m.temporary)
+        done = sorted(f for m in messages if m for f in m.files)
         if self.overwrite:
             for path in there:
                 os.remove(path)
@@ -98,9 +113,9 @@ class BatchWriter(DataSourceWriter):
             os.replace(temporary, os.path.join(self.path, f"{first + i:06d}.batch"))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m and m.temporary and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        for _, temporary in (f for m in messages if m for f in m.files):
+            if os.path.exists(temporary):
+                os.remove(temporary)
 
 
 class BatchSource(DataSource):

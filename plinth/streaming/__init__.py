@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plinth.errors import SqlCompileError
-from plinth.functions import aggregate, compare
+from plinth.operators.lower import Input, grouped, project
 from plinth.plans.physical import GroupPlan, ScanPlan
-from plinth.sources.store import TABLES, Store
+from plinth.sources.store import Store
 
 
 def follow(store: Store, name: str, max_files: int = 64) -> DataFrame:
     """The rows of a stored table, those there and those still to be appended, as a streaming DataFrame."""
     table = store.catalog[name]
-    folder = os.path.join(store.folder, TABLES, table.id.hex)
-    os.makedirs(folder, exist_ok=True)
+    folder = store.place(table)
+    store.files.make(folder)
     return store.spark.readStream.schema(table.schema.to_spark()).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").parquet(folder)
 
 
 def apply(plan: ScanPlan | GroupPlan, store: Store) -> DataFrame:
-    """A scan or grouped plan over a stored table's stream: filters and projection, or running aggregates by group (unordered)."""
+    """A scan or grouped plan over a stored table's stream: the checks, filters, names and layout of a run over the table; groups are running and unordered."""
+    if not isinstance(plan, (ScanPlan, GroupPlan)) or isinstance(plan, ScanPlan) and plan.aggregate:
+        raise SqlCompileError("only scans and grouped scans can follow a stream")
     table = store.catalog[plan.table]
-    columns = [(F.col(f"`{c.name}`"), c) for c in table.schema]
-    df = follow(store, table.name)
-    for f in plan.filters:
-        df = df.filter(compare(columns[f.column][0], columns[f.column][1].type, f.operator, f.value))
+    source = Input(table, plan.filters, "c", follow(store, table.name))
     if isinstance(plan, GroupPlan):
-        g = plan.grouping
-        calls = [aggregate(a.function, None if a.column is None else columns[a.column][0], None if a.column is None else columns[a.column][1].type).alias(f"{a.function.lower()}_{'star' if a.column is None else columns[a.column][1].name}") for a in g.aggregates]
-        return df.groupBy(*(columns[k][0] for k in g.keys)).agg(*calls)
-    if not isinstance(plan, ScanPlan) or plan.aggregate:
-        raise SqlCompileError("only scans and grouped scans can follow a stream")
-    return df.select(*(columns[i][0] for i in plan.columns))
+        return grouped(source.df, [(source.name(i), c, c.name) for i, c in enumerate(table.schema)], plan.grouping, plan.options, ordered=False)
+    return project(source.df, [(source.name(i), source.check(i).name) for i in plan.columns])
