@@ -91,11 +91,13 @@ class Engine:
     @contextlib.contextmanager
     def session(self, tag: str) -> Iterator[Engine]:
         """Jobs that this thread starts within can be stopped by cancel(tag)."""
-        self.spark.addTag(tag)
+        context = self.spark.sparkContext
+        context.addJobTag(tag)
         try:
             yield self
         finally:
-            self.spark.removeTag(tag)
+            context.removeJobTag(tag)
 
     def cancel(self, tag: str) -> None:
-        self.spark.interruptTag(tag)
+        """Stops jobs of the tag, whichever threads started them; a session's own tags are known to their thread only."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import SparkSession
 
 
@@ -20,7 +21,8 @@ class Files:
     def _system(self, path: str):
         found = self._path(path).getFileSystem(self.conf)
         # A local file has no checksum beside it, so that other programs may write it too.
-        return found.getRaw() if found.getClass().getName() == "org.apache.hadoop.fs.LocalFileSystem" else found
+        local = is_instance_of(self.spark.sparkContext._gateway, found, "org.apache.hadoop.fs.LocalFileSystem")
+        return found.getRaw() if local else found
 
     def exists(self, path: str) -> bool:
         return self._system(path).exists(self._path(path))

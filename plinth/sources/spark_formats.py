@@ -1,7 +1,8 @@
 """The binary formats as Spark data sources, for import and export.
 
 Batches ("plinth_batch"): a folder of *.batch files, a partition for each, read in
-order of their names; a task writes a file for about every FILE_BYTES.  Columns
+order of their names; a task writes a file for about every
+64 MB (option fileBytes).  Columns
 ("plinth_column"): a folder of <column>.col files of as many rows each.
 
     spark.read.format("plinth_batch").schema(schema).load(folder)
@@ -71,8 +72,8 @@ class _Written(WriterCommitMessage):
 class BatchWriter(DataSourceArrowWriter):
     """Each task writes files beside their final names; all of them get their names when every task has succeeded."""
 
-    def __init__(self, schema: StructType, path: str, overwrite: bool):
-        self.names, self.path, self.overwrite, self.run = schema.names, path, overwrite, uuid.uuid4().hex
+    def __init__(self, schema: StructType, path: str, overwrite: bool, file_bytes: int = FILE_BYTES):
+        self.names, self.path, self.overwrite, self.file_bytes, self.run = schema.names, path, overwrite, file_bytes, uuid.uuid4().hex
         self.types = [batchfile.ARROW[c.type] for c in Schema.from_spark(schema)]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -94,7 +95,7 @@ class BatchWriter(DataSourceArrowWriter):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(b.nbytes for b in held) >= FILE_BYTES:
+            if sum(b.nbytes for b in held) >= self.file_bytes:
                 flush()
         if held:
             flush()
@@ -130,7 +131,7 @@ class BatchSource(DataSource):
         return BatchReader(schema, self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return BatchWriter(schema, self.options["path"], overwrite)
+        return BatchWriter(schema, self.options["path"], overwrite, int(self.options.get("fileBytes") or FILE_BYTES))
 
 
 class ColumnSource(DataSource):

@@ -1,10 +1,16 @@
 """Results, null and NaN rules, orders and rejections over small tables."""
 
 import math
+import operator
+import random
+import time
 
 import pytest
+from pyspark import InheritableThread
 
 from plinth import CatalogError, ColumnType, Engine, Schema, SqlCompileError
+from plinth.operators.lower import lower
+from plinth.plans.binder import compile_sql
 from plinth.plans.physical import HASH, MERGE, Aggregate, Filter, Grouping, GroupPlan, JoinPlan, NotePlan, Options, ScanPlan, SortPlan
 
 I32, I64, F64, BOOL, UTF8 = ColumnType.INT32, ColumnType.INT64, ColumnType.FLOAT64, ColumnType.BOOLEAN, ColumnType.UTF8
@@ -25,15 +31,33 @@ def rows(e, sql, **more):
     return [tuple(r) for r in e.execute_sql(sql, **more).rows()]
 
 
-SALES = ([("qty", I32), ("amt", F64)], [(1, 10.0), (2, 20.0), (3, 30.0)])
+def cells(seed, n, *kinds):
+    """n rows of random cells, a few of them null: numbers below 8, halves of such, short texts."""
+    rng = random.Random(seed)
+    pick = {I32: lambda: rng.randrange(8), I64: lambda: rng.randrange(8) << 33, F64: lambda: rng.randrange(16) / 2, UTF8: lambda: rng.choice("pqrs") * rng.randint(1, 2)}
+    return [tuple(None if rng.random() < 0.15 else pick[k]() for k in kinds) for _ in range(n)]
 
 
-def test_filter_and_projection(spark):
-    e = make(spark, sales=SALES)
-    assert sorted(rows(e, "SELECT amt FROM sales WHERE qty > 1")) == [(20.0,), (30.0,)]
-    assert rows(e, "SELECT amt FROM sales WHERE qty < 3 AND amt > 15") == [(20.0,)]
-    assert rows(e, "SELECT Sales.AMT, qty, qty FROM SALES WHERE qty = 1") == [(10.0, 1, 1)]
-    assert e.sql("SELECT qty, qty FROM sales").columns == ["qty", "qty_2"]
+#: Weather stations, and what they measured.
+STATIONS = ([("code", I32), ("height", F64), ("kind", UTF8)], cells(1, 30, I32, F64, UTF8))
+COMPARE = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+@pytest.mark.parametrize("sign", COMPARE)
+def test_filters_and_projections_as_in_python(spark, sign):
+    columns, data = STATIONS
+    e, test = make(spark, stations=(columns, data[:11], data[11:])), COMPARE[sign]
+    found = rows(e, f"SELECT height, code FROM stations WHERE code {sign} 4")
+    assert sorted(found, key=repr) == sorted([(h, c) for c, h, _ in data if c is not None and test(c, 4)], key=repr)
+    found = rows(e, f"SELECT STATIONS.Kind FROM Stations WHERE height {sign} 3.5 AND code < 6")
+    assert sorted(found, key=repr) == sorted([(k,) for c, h, k in data if None not in (c, h) and test(h, 3.5) and c < 6], key=repr)
+    if sign in ("=", "<>"):
+        assert len(rows(e, f"SELECT code FROM stations WHERE kind {sign} 'pp'")) == sum(k is not None and test(k, "pp") for *_, k in data)
+
+
+def test_names_of_repeated_columns(spark):
+    e = make(spark, stations=STATIONS)
+    assert e.sql("SELECT kind, code, kind, kind FROM stations").columns == ["kind", "code", "kind_2", "kind_3"]
 
 
 def test_scans_keep_row_order_where_asked(spark):
@@ -81,8 +105,8 @@ def test_booleans(spark, sign, found):
 
 
 def test_null_cells_compare_with_nothing(spark):
-    e = make(spark, t=([("x", I32), ("s", UTF8)], [(1, "us"), (None, None), (2, "uk")]))
-    assert rows(e, "SELECT x FROM t WHERE x <> 1") == [(2,)] and rows(e, "SELECT x FROM t WHERE s != 'us'") == [(2,)]
+    e = make(spark, t=([("x", I32), ("s", UTF8)], [(7, "wet"), (None, None), (9, "dry")]))
+    assert rows(e, "SELECT x FROM t WHERE x <> 7") == [(9,)] and rows(e, "SELECT x FROM t WHERE s != 'wet'") == [(9,)]
 
 
 def test_nan_and_zero(spark):
@@ -111,42 +135,75 @@ def test_order_and_limit(spark):
     assert [r[0] for r in rows(make(spark, t=([("s", UTF8)], [("z",), ("é",), ("",), ("Z",), ("😀",)])), "SELECT s FROM t ORDER BY s")] == ["", "Z", "z", "é", "😀"]
 
 
-LEFT = ([("id", I32), ("tag", UTF8), ("qty", I32)], [(1, "east", 1), (2, "west", 5), (None, "none", 0)])
-RIGHT = ([("id", I32), ("tag", UTF8), ("amt", I64)], [(1, "east", 10), (1, "west", 20), (2, "west", 5), (None, None, 9)])
+FLEET = ([("hull", I32), ("flag", UTF8), ("decks", I32)], cells(2, 25, I32, UTF8, I32))
+CALLS = ([("vessel", I32), ("ensign", UTF8), ("cargo", I64)], cells(3, 40, I32, UTF8, I64))
+
+
+def nested(*keys):
+    """The join of the fleet and its calls by the given pairs of columns, the fleet's rows first in order, as in Python."""
+    return [a + b for a in FLEET[1] for b in CALLS[1] if all(a[i] is not None and a[i] == b[j] for i, j in keys)]
 
 
 @pytest.mark.parametrize("algorithm", ["auto", HASH, MERGE])
-def test_joins(spark, algorithm):
-    e = make(spark, L=LEFT, R=RIGHT)
+def test_joins_as_in_python(spark, algorithm):
+    e = make(spark, fleet=FLEET, calls=CALLS)
     run = lambda sql: sorted(rows(e, sql, algorithm=algorithm), key=repr)
-    assert run("SELECT L.id, amt FROM L INNER JOIN R ON L.id = R.id") == [(1, 10), (1, 20), (2, 5)]
-    assert run("SELECT qty, R.amt FROM L INNER JOIN R ON R.tag = L.tag AND L.id = R.id WHERE L.qty > 1") == [(5, 5)]
-    assert e.sql("SELECT * FROM L INNER JOIN R ON L.id = R.id").columns == ["L_id", "L_tag", "L_qty", "R_id", "R_tag", "R_amt"]
-    assert run("SELECT L.tag, SUM(R.amt), COUNT(*) FROM L INNER JOIN R ON L.tag = R.tag GROUP BY L.tag") == [("east", 10, 1), ("west", 25, 2)]
-    assert rows(e, "SELECT L.id, R.amt FROM L INNER JOIN R ON L.id = R.id ORDER BY R.amt DESC LIMIT 1", algorithm=algorithm) == [(1, 20)]
-    assert rows(e, "SELECT L.id, R.amt FROM L INNER JOIN R ON L.id = R.id LIMIT 2", algorithm=algorithm) == [(1, 10), (1, 20)]
-    assert run("SELECT L.id FROM L INNER JOIN R ON L.id = R.id WHERE R.amt > 99") == []
+    same = lambda sql, expected: run(sql) == sorted(expected, key=repr)
+    by_hull, by_both = nested((0, 0)), nested((0, 0), (1, 1))
+    assert same("SELECT * FROM fleet INNER JOIN calls ON fleet.hull = calls.vessel", by_hull)
+    assert same("SELECT cargo, decks FROM fleet INNER JOIN calls ON calls.ensign = fleet.flag AND fleet.hull = calls.vessel", [(r[5], r[2]) for r in by_both])
+    assert same("SELECT calls.cargo FROM fleet INNER JOIN calls ON fleet.hull = calls.vessel WHERE decks >= 3 AND calls.ensign <> 'q'", [(r[5],) for r in by_hull if (r[2] or 0) >= 3 and r[4] not in (None, "q")])
+    sums = {}
+    for r in nested((1, 1)):
+        n, total = sums.get(r[1], (0, None))
+        sums[r[1]] = (n + 1, total if r[5] is None else (total or 0) + r[5])
+    assert same("SELECT COUNT(*), fleet.flag, SUM(calls.cargo) FROM fleet INNER JOIN calls ON fleet.flag = calls.ensign GROUP BY fleet.flag", [(n, k, t) for k, (n, t) in sums.items()])
+    sql = "SELECT fleet.decks, calls.cargo FROM fleet INNER JOIN calls ON fleet.hull = calls.vessel"
+    assert rows(e, f"{sql} LIMIT 9", algorithm=algorithm) == [(r[2], r[5]) for r in by_hull[:9]]
+    ordered = sorted(by_hull, key=lambda r: (-1 if r[5] is None else r[5], -(-1 if r[2] is None else r[2])))
+    assert rows(e, f"{sql} ORDER BY calls.cargo, fleet.decks DESC LIMIT 12", algorithm=algorithm) == [(r[2], r[5]) for r in ordered[:12]]
+    assert e.sql("SELECT * FROM fleet INNER JOIN calls ON fleet.hull = calls.vessel").columns == ["fleet_hull", "fleet_flag", "fleet_decks", "calls_vessel", "calls_ensign", "calls_cargo"]
+
+
+def test_order_of_joins_where_asked(spark):
+    e = make(spark, fleet=(FLEET[0], FLEET[1][:9], FLEET[1][9:]), calls=CALLS)
+    e._context.ordered = "all"
+    sql = "SELECT * FROM fleet INNER JOIN calls ON fleet.hull = calls.vessel"
+    assert rows(e, sql) == rows(e, sql, algorithm=HASH) == nested((0, 0))
+    assert rows(e, sql, algorithm=MERGE) == sorted(nested((0, 0)), key=lambda r: r[0])
+    assert rows(e, sql, options=Options(parallelism=1)) == nested((0, 0))
 
 
 def test_join_hints_reach_the_plan(spark):
-    e = make(spark, L=LEFT, R=RIGHT)
-    plan = lambda a: e.sql("SELECT L.id FROM L INNER JOIN R ON L.id = R.id", algorithm=a)._jdf.queryExecution().sparkPlan().toString()
+    e = make(spark, fleet=FLEET, calls=CALLS)
+    plan = lambda a: e.sql("SELECT hull FROM fleet INNER JOIN calls ON fleet.hull = calls.vessel", algorithm=a)._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan(HASH) and "BuildRight" in plan(HASH) and "SortMergeJoin" in plan(MERGE)
 
 
+JOIN = "FROM fleet INNER JOIN calls ON fleet.hull = calls.vessel"
 BAD = [
-    "SELECT x FROM nosuch", "SELECT nosuch FROM L", "SELECT R.id FROM L", "SELECT id FROM L WHERE R.id = 1", "SELECT SUM(nosuch.qty) FROM L", "SELECT id FROM L WHERE tag > 'a'", "SELECT id FROM L WHERE id = 1.5",
-    "SELECT id FROM L WHERE id = 'a'", "SELECT id FROM L WHERE id = TRUE", "SELECT id FROM L WHERE id = 2147483648", "SELECT id FROM L WHERE tag = 1", "SELECT SUM(tag) FROM L", "SELECT MIN(qty) FROM L", "SELECT MAX(amt) FROM R",
-    "SELECT tag, SUM(qty) FROM L GROUP BY id", "SELECT id FROM L INNER JOIN R ON L.id = R.id", "SELECT L.id FROM L INNER JOIN R ON L.id = R.amt", "SELECT L.id, L.id FROM L INNER JOIN R ON L.id = R.id",
-    "SELECT L.id FROM L INNER JOIN L ON L.id = L.id", "SELECT tag, SUM(amt) FROM L INNER JOIN R ON L.id = R.id GROUP BY L.tag", "SELECT L.tag, SUM(amt) FROM L INNER JOIN R ON L.id = R.id GROUP BY tag",
-    "SELECT L.id FROM L INNER JOIN R ON L.id = R.id ORDER BY L.qty", "SELECT qty FROM L INNER JOIN R ON L.id = R.id ORDER BY L.qty", "SELECT L.id FROM L INNER JOIN R ON L.id = R.id ORDER BY id", "SELECT L.id FROM L INNER JOIN R ON L.id = R.id WHERE id = 1",
+    # Names that are nowhere, in another table, or not one table's.
+    "SELECT hull FROM harbour", "SELECT keel FROM fleet", "SELECT calls.vessel FROM fleet", "SELECT hull FROM fleet WHERE calls.vessel = 3", "SELECT SUM(harbour.decks) FROM fleet", f"SELECT twin.hull {JOIN}",
+    # Literals and comparisons that a column doesn't take.
+    "SELECT hull FROM fleet WHERE flag >= 'p'", "SELECT hull FROM fleet WHERE hull < 2.5", "SELECT hull FROM fleet WHERE decks = 'three'", "SELECT hull FROM fleet WHERE hull <> FALSE", "SELECT hull FROM fleet WHERE hull > -2147483649", "SELECT hull FROM fleet WHERE flag = 7",
+    # Aggregates of types that they don't take, and columns beside them that aren't grouped.
+    "SELECT SUM(flag) FROM fleet", "SELECT MIN(decks) FROM fleet", "SELECT MAX(cargo) FROM calls", "SELECT decks, SUM(hull) FROM fleet GROUP BY flag", f"SELECT calls.ensign, SUM(calls.cargo) {JOIN} GROUP BY fleet.flag",
+    # Joins: of keys of two types, with a table itself, with equal names in the output, ordered by what isn't put out.
+    "SELECT hull FROM fleet INNER JOIN calls ON fleet.hull = calls.cargo", "SELECT fleet.hull FROM fleet INNER JOIN fleet ON fleet.hull = fleet.decks", f"SELECT fleet.flag, fleet.flag {JOIN}", f"SELECT hull {JOIN} ORDER BY fleet.decks",
+    f"SELECT ensign, SUM(cargo) {JOIN} GROUP BY calls.ensign", f"SELECT calls.ensign, SUM(cargo) {JOIN} GROUP BY ensign", f"SELECT fleet.hull {JOIN} ORDER BY hull",
 ]
 
 
 @pytest.mark.parametrize("sql", BAD)
 def test_rejected_by_the_catalog(spark, sql):
     with pytest.raises(SqlCompileError):
-        make(spark, L=LEFT, R=RIGHT).compile(sql)
+        make(spark, fleet=FLEET, calls=CALLS).compile(sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT code FROM a INNER JOIN b ON a.code = b.code", "SELECT a.n FROM a INNER JOIN b ON a.code = b.code WHERE code = 1"])
+def test_names_of_both_tables_need_one(spark, sql):
+    with pytest.raises(SqlCompileError, match="ambiguous"):
+        make(spark, a=([("code", I32), ("n", I32)],), b=([("code", I32)],)).compile(sql)
 
 
 def test_opaque_columns(spark):
@@ -159,16 +216,17 @@ def test_opaque_columns(spark):
 
 
 def test_plans_by_hand(spark):
-    e = make(spark, L=LEFT, R=RIGHT)
-    left, right = e.catalog["l"].id, e.catalog["R"].id
-    run = lambda p: sorted((tuple(r) for r in e.execute_plan(p).rows()), key=repr)
-    assert run(ScanPlan(left, (2, 0), (Filter(0, "=", 2),))) == [(5, 2)]
-    assert run(ScanPlan(left, (0, 1), (), Aggregate("COUNT"))) == [(3,)]
-    assert run(GroupPlan(right, Grouping((1,), (Aggregate("SUM", 2),)))) == [("east", 10), ("west", 25), (None, 9)]
-    assert run(SortPlan(right, (2,), ((2, True),), 2)) == [(10,), (20,)]
-    both = [run(JoinPlan(left, right, (0,), (0,), ((0, 2), (1, 2)), algorithm=a)) for a in (HASH, MERGE)]
-    assert both[0] == both[1] == [(1, 10), (1, 20), (5, 5)]
-    assert run(NotePlan("nothing")) == [] and e.execute_plan(object()).row_count() == 0
+    e = make(spark, fleet=FLEET, calls=CALLS)
+    left, right = e.catalog["Fleet"].id, e.catalog["calls"].id
+    fleet, calls = FLEET[1], CALLS[1]
+    same = lambda p, expected: sorted((tuple(r) for r in e.execute_plan(p).rows()), key=repr) == sorted(expected, key=repr)
+    assert same(ScanPlan(left, (2, 0), (Filter(0, "=", 5),)), [(d, h) for h, _, d in fleet if h == 5])
+    assert same(ScanPlan(left, (0, 1), (), Aggregate("COUNT")), [(len(fleet),)])
+    assert same(GroupPlan(right, Grouping((1,), (Aggregate("COUNT", 2),))), [(k, sum(x[1] == k and x[2] is not None for x in calls)) for k in {x[1] for x in calls}])
+    assert same(SortPlan(right, (2,), ((2, True),), 4), [(c,) for c in sorted((x[2] for x in calls if x[2] is not None), reverse=True)[:4]])
+    for algorithm in (HASH, MERGE):
+        assert same(JoinPlan(left, right, (0,), (0,), ((0, 2), (1, 2)), algorithm=algorithm), [(r[2], r[5]) for r in nested((0, 0))])
+    assert same(NotePlan("nothing"), []) and e.execute_plan(object()).row_count() == 0
     for bad in (lambda: ScanPlan(left, ()), lambda: SortPlan(left, (0,)), lambda: SortPlan(left, (0,), (), 0), lambda: Grouping((), (Aggregate("COUNT"),)), lambda: Grouping((0,), ()), lambda: Grouping(tuple(range(33)), (Aggregate("COUNT"),)),
                 lambda: Grouping((0,), (Aggregate("COUNT"),), (("key", 1),)), lambda: JoinPlan(left, right, (0,), ()), lambda: JoinPlan(left, right, (0,), (0,), algorithm="loop"), lambda: Aggregate("SUM"), lambda: Aggregate("AVG", 0), lambda: Filter(0, "~", 1)):
         with pytest.raises(SqlCompileError):
@@ -179,11 +237,46 @@ def test_plans_by_hand(spark):
 
 
 def test_compiled_plans(spark):
-    e = make(spark, L=LEFT, R=RIGHT)
-    kinds = {"SELECT id FROM L": "Scan", "SELECT COUNT(*) FROM L": "Scan", "SELECT id, COUNT(*) FROM L GROUP BY id": "Group", "SELECT id FROM L LIMIT 1": "Sort", "SELECT * FROM L INNER JOIN R ON L.id = R.id": "Join", "SELECT * FROM L INNER JOIN R ON L.id = R.id LIMIT 1": "Sort", "SELECT L.id, COUNT(*) FROM L INNER JOIN R ON L.id = R.id GROUP BY L.id": "Group"}
+    e = make(spark, fleet=FLEET, calls=CALLS)
+    kinds = {"SELECT decks FROM fleet": "Scan", "SELECT COUNT(flag) FROM fleet": "Scan", "SELECT flag, COUNT(*) FROM fleet GROUP BY flag": "Group", "SELECT flag FROM fleet LIMIT 3": "Sort", f"SELECT * {JOIN}": "Join", f"SELECT * {JOIN} LIMIT 2": "Sort", f"SELECT SUM(calls.cargo), fleet.flag {JOIN} GROUP BY fleet.flag": "Group"}
     for sql, kind in kinds.items():
         assert e.compile(sql).explain().startswith(kind)
-    assert "Scan" in e.explain("SELECT id FROM L") and "== Physical Plan ==" in e.explain("SELECT id FROM L")
+    assert "Scan" in e.explain("SELECT hull FROM fleet") and "== Physical Plan ==" in e.explain("SELECT hull FROM fleet")
+
+
+def test_other_compilers_and_executors(spark):
+    said = []
+
+    def compiler(sql, catalog, options, algorithm):
+        said.append((sql, algorithm))
+        return compile_sql(sql.replace("PICK", "SELECT"), catalog, options, algorithm)
+
+    def executor(plan, context):
+        said.append(plan.explain())
+        return lower(plan, context)
+
+    e = Engine(spark, compiler=compiler, executor=executor)
+    e.create_table("t", [("x", I32)], [(4,), (6,)])
+    assert rows(e, "PICK x FROM t WHERE x > 5") == [(6,)]
+    assert said[0] == ("PICK x FROM t WHERE x > 5", "auto") and said[1].startswith("Scan")
+
+
+def test_limits_read_few_files(spark, tmp_path):
+    spark.range(2000, numPartitions=40).selectExpr("id", "id % 100 AS part").write.parquet(str(tmp_path / "p"))
+    e = Engine(spark)
+    e.register_parquet("p", str(tmp_path / "p"))
+    e.create_table("k", [("id", I64)], [(i,) for i in range(0, 2000, 3)])
+    every = [r[0] for r in e.sql("SELECT id FROM p").orderBy("id").collect()]
+    for sql, found, most in (
+        ("SELECT id FROM p LIMIT 7", list(range(7)), 1), ("SELECT id FROM p LIMIT 120", list(range(120)), 4), ("SELECT id FROM p WHERE part = 7 LIMIT 3", [7, 107, 207], 16), ("SELECT id FROM p WHERE part > 100 LIMIT 3", [], 40),
+        ("SELECT p.id FROM p INNER JOIN k ON p.id = k.id LIMIT 4", [0, 3, 6, 9], 1), ("SELECT id FROM p LIMIT 5000", every, 40),
+    ):
+        df = e.sql(sql)
+        assert [r[0] for r in df.collect()] == found and len(df.inputFiles()) <= most
+    # Values in folders' names are no matter for single files.
+    spark.range(60).selectExpr("id", "CAST(id % 3 AS INT) AS third").write.partitionBy("third").parquet(str(tmp_path / "q"))
+    e.register_parquet("q", str(tmp_path / "q"))
+    assert len(e.sql("SELECT id, third FROM q LIMIT 50").collect()) == 50
 
 
 def test_spill_hook(spark):
@@ -194,10 +287,13 @@ def test_spill_hook(spark):
     expected = rows(e, sql)
     assert told == [] and rows(e, sql, options=Options(spill_threshold=2)) == expected
     assert told == ['{"op": "hash_agg_partial", "batch": 0, "entries": 3}']
+    e.create_table("u", [("j", I32), ("g", UTF8)], [(1, "a"), (2, "b"), (9, "c")])
+    assert len(rows(e, "SELECT u.g, COUNT(*) FROM t INNER JOIN u ON t.k = u.j GROUP BY u.g", options=Options(spill_threshold=2))) == 2
+    assert told[1:] == ['{"op": "hash_agg_partial_utf8", "batch": 0, "entries": 2}']
 
 
 def test_results_close(spark):
-    r = make(spark, sales=SALES).execute_sql("SELECT amt FROM sales")
+    r = make(spark, stations=STATIONS).execute_sql("SELECT height FROM stations")
     r.close()
     r.close()
     with pytest.raises(RuntimeError):
@@ -229,28 +325,50 @@ def test_catalog_and_tables(spark):
 
 
 def test_jobs_can_be_stopped(spark):
-    e = make(spark, sales=SALES)
-    with e.session("mine"):
-        assert "mine" in spark.getTags() and len(rows(e, "SELECT amt FROM sales")) == 3
+    e, ended = Engine(spark), []
+    e.register("endless", spark.range(1 << 50, numPartitions=8).selectExpr("id"))
+
+    def run():
+        try:
+            with e.session("mine"):
+                ended.append(e.execute_sql("SELECT COUNT(*) FROM endless WHERE id <> 5").value())
+        except Exception as error:
+            ended.append(error)
+
+    tracker, began = spark.sparkContext.statusTracker(), time.monotonic()
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    try:
+        while not tracker.getActiveStageIds() and time.monotonic() - began < 30:
+            time.sleep(0.05)
         e.cancel("other")
-    assert "mine" not in spark.getTags()
+        thread.join(1)
+        assert thread.is_alive() and not ended
+        e.cancel("mine")
+        thread.join(30)
+        assert not thread.is_alive() and "cancel" in str(ended[0]).lower()
+        assert "mine" not in spark.sparkContext.getJobTags()
+    finally:
+        spark.sparkContext.cancelAllJobs()
 
 
 def test_a_million_rows(spark):
     e = Engine(spark)
-    e.register("wide", spark.range(1 << 20).selectExpr("CAST(id % 10 AS INT) AS bucket", "id AS payload"))
-    assert e.execute_sql("SELECT COUNT(*) FROM wide WHERE bucket >= 2 AND bucket <= 3").value() == 209716
+    e.register("hits", spark.range(1 << 20).selectExpr("CAST(id * 7919 % 1000 AS INT) AS code", "id"))
+    assert e.execute_sql("SELECT COUNT(*) FROM hits WHERE code < 37 AND id >= 1000").value() == sum(i * 7919 % 1000 < 37 for i in range(1000, 1 << 20))
 
 
 def test_statements_by_calls(spark):
-    e = make(spark, L=LEFT, R=RIGHT)
-    assert e.table("L").where("qty", ">=", 1).select("id", "L.tag").order_by("id", descending=True).limit(1).run().rows() == [(2, "west")]
-    assert e.table("R").group_by("tag").aggregate(("sum", "amt"), "tag", ("COUNT", None)).run().rows() == [(10, "east", 1), (25, "west", 2), (9, None, 1)]
-    assert sorted(e.table("L").join("R", ("id", "id"), ("tag", "tag")).select("L.qty", "R.amt").run(algorithm=MERGE).rows()) == [(1, 10), (5, 5)]
-    assert e.table("L").aggregate(("COUNT", None)).run(options=Options(scheduler="channel")).value() == 3 and len(e.table("L").run().rows()) == 3
-    assert e.table("L").where("id", "=", 1).compile() == e.compile("SELECT * FROM L WHERE id = 1")
-    q = e.table("L")
-    for bad in (lambda: q.where("id", "~", 1), lambda: q.where("id", "=", None), lambda: q.where("id", "=", "x").run(), lambda: q.aggregate(("SUM", None)), lambda: q.aggregate(("AVG", "id")), lambda: q.select("nosuch").run(), lambda: q.join("R"), lambda: q.limit(0).run(),
-                lambda: q.aggregate("id", ("COUNT", None)).run(), lambda: q.group_by("id").run(), lambda: q.join("R", ("id", "id")).aggregate(("COUNT", None)).run(), lambda: e.table("nosuch").run(), lambda: Options(scheduler="x")):
+    e = make(spark, fleet=FLEET, calls=CALLS)
+    plan = lambda q, sql: q.compile() == e.compile(sql)
+    assert plan(e.table("fleet").where("decks", ">=", 4).select("hull", "fleet.flag").order_by("hull", descending=True).limit(2), "SELECT hull, fleet.flag FROM fleet WHERE decks >= 4 ORDER BY hull DESC LIMIT 2")
+    assert plan(e.table("calls").group_by("ensign").aggregate(("sum", "cargo"), "ensign", ("COUNT", None)), "SELECT SUM(cargo), ensign, COUNT(*) FROM calls GROUP BY ensign")
+    assert plan(e.table("fleet").where("flag", "=", "it's"), "SELECT * FROM fleet WHERE flag = 'it''s'")
+    joined = e.table("fleet").join("calls", ("hull", "vessel"), ("flag", "ensign")).select("fleet.decks", "calls.cargo")
+    assert sorted(map(tuple, joined.run(algorithm=MERGE).rows()), key=repr) == sorted([(r[2], r[5]) for r in nested((0, 0), (1, 1))], key=repr)
+    assert e.table("fleet").aggregate(("COUNT", None)).run(options=Options(scheduler="channel")).value() == len(FLEET[1]) == len(e.table("fleet").run().rows())
+    q = e.table("fleet")
+    for bad in (lambda: q.where("hull", "~", 1), lambda: q.where("hull", "=", None), lambda: q.where("hull", "=", "x").run(), lambda: q.aggregate(("SUM", None)), lambda: q.aggregate(("AVG", "hull")), lambda: q.select("nosuch").run(), lambda: q.join("calls"), lambda: q.limit(0).run(),
+                lambda: q.aggregate("hull", ("COUNT", None)).run(), lambda: q.group_by("hull").run(), lambda: q.join("calls", ("hull", "vessel")).aggregate(("COUNT", None)).run(), lambda: e.table("nosuch").run(), lambda: Options(scheduler="x")):
         with pytest.raises(SqlCompileError):
             bad()

@@ -1,6 +1,8 @@
 """Durable tables, snapshots, binary formats, streams."""
 
 import os
+import shutil
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,25 +11,77 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plinth import CatalogError, ColumnType, Engine, FormatError, SqlCompileError
-from plinth.plans.physical import Aggregate, Filter, Grouping, GroupPlan, ScanPlan
-from plinth.sources import batchfile, columnfile, spark_formats
+from plinth.plans.physical import Aggregate, Filter, Grouping, GroupPlan, Options, ScanPlan
+from plinth.sources import batchfile, columnfile, spark_formats, store
 from plinth.sources.store import Store, export_snapshot, import_snapshot
 from plinth.streaming import apply
 
-COLUMNS = [("region", ColumnType.UTF8), ("amount", ColumnType.FLOAT64)]
+COLUMNS = [("port", ColumnType.UTF8), ("tide", ColumnType.FLOAT64)]
 
 
-def test_tables_outlive_their_engine(spark, tmp_path):
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_tables_outlive_their_engine(spark, tmp_path, prefix):
+    folder, rows = f"{prefix}{tmp_path}/db", [("Brest", 6.25), (None, -0.5), ("Lagos", None), ("Brest", 3.0), ("Osaka", 1.75)]
+    table = Engine.open(spark, folder).create_table("tides", COLUMNS, rows[:2])
+    table.append(rows[2:4])
+    again = Engine.open(spark, folder)
+    assert [tuple(r) for r in again.sql("SELECT port, tide FROM tides LIMIT 50").collect()] == rows[:4]
+    assert sorted(os.listdir(tmp_path / "db" / "tables" / table.id.hex)) == ["000000.parquet", "000001.parquet"]
+    again.catalog["tides"].append(rows[4:])
+    assert Engine.open(spark, folder).execute_sql("SELECT SUM(tide) FROM tides").value() == sum(t or 0 for _, t in rows)
+    assert len(Store(spark, f"{folder}/nosuch").catalog) == 0
+
+
+def test_what_wasnt_finished_isnt_read(spark, tmp_path):
     e = Engine.open(spark, str(tmp_path))
-    e.create_table("sales", COLUMNS, [("us", 1.0), ("uk", None)])
-    e.catalog["sales"].append([("ca", 3.0)])
+    table = e.create_table("t", [("x", ColumnType.INT64)], [(1,), (2,)])
+    place = tmp_path / "tables" / table.id.hex
+    shutil.copytree(place / "000000.parquet", place / "000001.parquet")
+    (place / "000001.parquet" / "_SUCCESS").unlink()
     again = Engine.open(spark, str(tmp_path))
-    assert again.execute_sql("SELECT COUNT(*) FROM sales").value() == 3
-    assert [tuple(r) for r in again.sql("SELECT region, amount FROM sales LIMIT 9").collect()] == [("us", 1.0), ("uk", None), ("ca", 3.0)]
-    assert sorted(os.listdir(tmp_path / "tables" / again.catalog["sales"].id.hex)) == ["000000.parquet", "000001.parquet"]
-    again.catalog["sales"].append([("de", 4.0)])
-    assert Engine.open(spark, str(tmp_path)).execute_sql("SELECT SUM(amount) FROM sales").value() == 8.0
-    assert len(Store(spark, str(tmp_path / "nosuch")).catalog) == 0
+    assert again.execute_sql("SELECT COUNT(*) FROM t").value() == 2
+    again.catalog["t"].append([(5,)])
+    assert [r[0] for r in Engine.open(spark, str(tmp_path)).sql("SELECT x FROM t LIMIT 9").collect()] == [1, 2, 5]
+    # The first engine knows nothing of that batch; its own one must not replace it.
+    with pytest.raises(CatalogError, match="somebody else"):
+        table.append([(6,)])
+    assert table.row_count() == 2
+
+
+def test_very_many_batches_are_one_scan(spark, tmp_path):
+    e = Engine.open(spark, str(tmp_path))
+    table = e.create_table("t", [("x", ColumnType.INT64)], [(0,), (1,)])
+    place = tmp_path / "tables" / table.id.hex
+    for i in range(1, 2000):
+        shutil.copytree(place / "000000.parquet", place / f"{i:06d}.parquet", copy_function=os.link)
+    again, began = Engine.open(spark, str(tmp_path)), time.monotonic()
+    df = again.sql("SELECT x FROM t WHERE x = 1")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert time.monotonic() - began < 60 and plan.count("FileScan") == 1 and "Union" not in plan
+    assert again.execute_sql("SELECT COUNT(*) FROM t").value() == 4000
+    again.catalog["t"].append([(7,)])
+    assert sorted(os.listdir(place))[-1] == "002000.parquet"
+
+
+def test_an_export_that_fails_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    e = Engine(spark)
+    table = e.create_table("t", [("x", ColumnType.INT32)], [(1,)])
+    export_snapshot(e.catalog, str(tmp_path))
+    table.append([(2,)])
+    write = store._write_segment
+
+    def fail(files, folder, index, *more):
+        if index:
+            raise OSError("full")
+        return write(files, folder, index, *more)
+
+    monkeypatch.setattr(store, "_write_segment", fail)
+    with pytest.raises(OSError):
+        export_snapshot(e.catalog, str(tmp_path))
+    assert import_snapshot(spark, str(tmp_path))["t"].row_count() == 1
+    monkeypatch.undo()
+    export_snapshot(e.catalog, str(tmp_path))
+    assert import_snapshot(spark, str(tmp_path))["t"].row_count() == 2 and len([n for n in os.listdir(tmp_path) if n.startswith("tables")]) == 1
 
 
 def test_large_batches_keep_their_order(spark, tmp_path):
@@ -125,6 +179,11 @@ def test_formats_in_spark(spark, tmp_path):
         df.write.format("plinth_batch").mode(mode).save(folder)
         assert spark.read.format("plinth_batch").schema(df.schema).load(folder).count() == n
     assert sorted(map(tuple, spark.read.format("plinth_batch").schema(df.schema).load(folder).collect())) == sorted(map(tuple, df.collect()))
+    # Large partitions become several files, in the order of their rows.
+    long = spark.range(30_000, numPartitions=2)
+    long.write.format("plinth_batch").mode("overwrite").option("fileBytes", 40_000).save(folder)
+    assert len(os.listdir(folder)) > 3
+    assert [r[0] for r in spark.read.format("plinth_batch").schema(long.schema).load(folder).collect()] == list(range(30_000))
     columns = tmp_path / "c"
     columns.mkdir()
     columnfile.write(str(columns / "x.col"), pa.array(np.arange(4, dtype=np.int32)))
@@ -147,6 +206,12 @@ def test_a_stored_table_as_a_stream(spark, tmp_path):
     e = Engine.open(spark, str(tmp_path / "db"))
     table = e.create_table("t", [("k", ColumnType.INT32), ("v", ColumnType.INT64)], [(1, 10), (2, 20)])
     grouped = apply(GroupPlan(table.id, Grouping((0,), (Aggregate("SUM", 1), Aggregate("COUNT")))), e.store)
+    swapped = apply(GroupPlan(table.id, Grouping((0,), (Aggregate("SUM", 1),), (("aggregate", 0), ("key", 0))), options=Options(wrap_overflow=True)), e.store)
+    assert grouped.columns == ["k", "sum_v", "count_star"] and swapped.columns == ["sum_v", "k"]
+    assert apply(ScanPlan(table.id, (1, 1)), e.store).columns == ["v", "v_2"]
+    for bad in (ScanPlan(table.id, (9,)), GroupPlan(table.id, Grouping((0,), (Aggregate("MIN", 1),)))):
+        with pytest.raises(SqlCompileError):
+            apply(bad, e.store)
     rows = apply(ScanPlan(table.id, (1,), (Filter(0, "=", 1),)), e.store)
     queries = [grouped.writeStream.outputMode("complete").format("memory").queryName("grouped").start(), rows.writeStream.format("memory").queryName("rows").start()]
     try:
