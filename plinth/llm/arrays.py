@@ -8,6 +8,7 @@ slices are bounded in bytes (a single longer text is a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 #: Bytes of text that are turned into arrays at once.
 SLICE_BYTES = 1 << 20
 
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,6 +57,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(first, stop - first)
         first = stop
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hands memory that is free to the system: workers wait for their next task beside others that run."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space between words, as a character class of Java and of DuckDB patterns.
 SPACE = r"[\x20\x09-\x0D]"
+#: Bytes of a row group of tables that cut() writes.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    # Small row groups: a task that writes or reads one holds it whole.
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     files, place = _files(spark, path)
     files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
