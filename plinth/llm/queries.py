@@ -101,14 +101,14 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
         QUALIFY rank <= 20""",
     "op5_substring_dedup": f"""
-        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
-        windows AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
-        repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
-        gone AS (SELECT DISTINCT doc_id, i + o AS p FROM repeated, range(35) AS r(o)),
-        placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
-        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS.format("text")} AS w FROM documents),
+        windows AS (SELECT row, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS g FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        repeated AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+        gone AS (SELECT DISTINCT row, i + o AS p FROM repeated, range(35) AS r(o)),
+        placed AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (row, p) GROUP BY row)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-        FROM d LEFT JOIN kept USING (doc_id)""",
+        FROM d LEFT JOIN kept USING (row)""",
     "op7_reply_tree_format": r"""
         WITH own(conv_id, turn, role, text) AS (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
         turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM own)),

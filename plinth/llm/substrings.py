@@ -99,7 +99,7 @@ def _tags(texts: pa.Array) -> np.ndarray:
 
 
 def _with_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, text, copy, first: whether the whole text also is that of another row; of such rows, whether it has the least doc_id.
+    """docs with copy, first: whether the whole text also is that of another row; of such rows, whether it has the least doc_id.
 
     Kept as digests of texts by doc_id, so that rows that share a doc_id stay apart.
     """
@@ -109,7 +109,7 @@ def _with_copies(docs: DataFrame) -> DataFrame:
     classes = cut(named.groupBy("m").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1"))
     found = named.join(classes, "m").groupBy("doc_id").agg(F.collect_set("m").alias("ms"), F.collect_set(F.when(F.col("doc_id") == F.col("least"), F.col("m"))).alias("firsts"))
     has = lambda c: F.coalesce(F.array_contains(c, digest()), F.lit(False))
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", has("ms").alias("copy"), has("firsts").alias("first"))
+    return docs.join(found, "doc_id", "left").select(*docs.columns, has("ms").alias("copy"), has("firsts").alias("first"))
 
 
 def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -199,17 +199,18 @@ def drop_repeated(docs: DataFrame, length: int = 35) -> DataFrame:
 
     A word goes if a window of `length` words that covers it also begins anywhere
     else, the same document included.  Windows are those of the input.  A null
-    text has no words; rows without a doc_id are left out, as nothing could name
-    them; rows that share a doc_id are separate places, so repeated rows repeat
-    each other's windows.  Empty tables give no rows; other columns are ignored.
+    text has no words; rows without a doc_id are places and results like others;
+    rows that share a doc_id are separate places, so repeated rows repeat each
+    other's windows.  Empty tables give no rows; other columns are ignored.
     """
-    docs = _with_copies(docs.select("doc_id", "text").filter("doc_id is not null"))
+    # Rows without a doc_id go by a hash of the text: one that another row has as well is told apart like any shared doc_id.
+    docs = _with_copies(docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), "text"))
     spans = _repeated_spans(docs, length)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, copy, found in zip(*(batch.column(c) for c in ("doc_id", "text", "copy", "spans")), strict=True):
+            for doc_id, nameless, text, copy, found in zip(*(batch.column(c) for c in ("doc_id", "nameless", "text", "copy", "spans")), strict=True):
                 raw = (text.as_py() or "").encode()
                 words = raw.split()
                 kept = words
@@ -225,7 +226,7 @@ def drop_repeated(docs: DataFrame, length: int = 35) -> DataFrame:
                     gone = np.cumsum(step[:-1]) > 0
                     kept = [words[i] for i in np.flatnonzero(~gone)]
                 joined = b" ".join(kept)
-                out.append((doc_id.as_py(), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()))
+                out.append((None if nameless.as_py() else doc_id.as_py(), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
 
     return docs.join(spans, "doc_id", "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -8,7 +8,7 @@ from tests.llm.support import corpus, frame, prose, words
 
 
 def brute(rows, length):
-    texts = [(i, words(t)) for i, t, *_ in rows if i is not None]
+    texts = [(i, words(t)) for i, t, *_ in rows]
     seen = collections.Counter(tuple(w[i : i + length]) for _, w in texts for i in range(len(w) - length + 1))
     out = []
     for doc, w in texts:
@@ -18,11 +18,15 @@ def brute(rows, length):
                 gone[i : i + length] = [True] * length
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.append((doc, len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
-    return sorted(out)
+    return in_order(out)
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
 
 
 def run(spark, rows, length, **more):
-    return sorted(map(tuple, drop_repeated(frame(spark, rows, **more), length).collect()))
+    return in_order(map(tuple, drop_repeated(frame(spark, rows, **more), length).collect()))
 
 
 @pytest.mark.parametrize("seed, length", [(0, 35), (1, 35), (2, 12), (3, 4)])
@@ -31,6 +35,14 @@ def test_as_brute_force(spark, seed, length):
     assert run(spark, rows, length, clashing=True) == brute(rows, length)
 
 
+def test_rows_without_an_id_are_places(spark):
+    a, b = prose(1, 40), prose(2, 50)
+    none = [(None, f"{prose(3, 9)} {a}", "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (None, None, "en", "s"), (None, "", None, None), (None, prose(6, 60), "en", "s")]
+    rows = [(1, f"{a} {prose(4, 8)}", "en", "s"), (42, f"x {b}", "en", "s"), (43, prose(5, 60), "en", "s"), *none]
+    found = run(spark, rows, 35)
+    assert found == brute(rows, 35) and [r[2] for r in found] == [40, 50, 0, 0, 0, 40, 50, 50, 0]
+
+
 def test_edges_of_matches(spark):
     a, b = prose(1, 34), prose(2, 35)
     rows = [(i, f"{prose(10 + i, 7)} {a} {prose(20 + i, 9)} {b} {prose(30 + i, 5)}", "en", "s") for i in range(3)] + [(9, a, "en", "s"), (10, b, "en", "s")]
