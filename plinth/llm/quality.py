@@ -6,7 +6,7 @@ multinomials, and a document keeps its place if the mean log-ratio of its n-gram
 reaches a threshold.  The table has BUCKETS cells whatever the corpus, so it is
 part of the plan and each document is scored where it is read.  Repeats are found
 by hashes of 64 bits: a text of ten million words has a false one with a
-probability of 3e-6.
+probability of 1e-5 at most.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut, spaced, words
+from plinth.llm.common import cut, words
 
-#: Cells of the table of log-ratios; smoothing.
+#: Cells of the table of log-ratios, a power of two; smoothing.
 BUCKETS, ALPHA = 1 << 14, 1.0
 #: Trusted documents that are learned from at most (those of the least hashes of doc_id), a documented bound of the fit.
 TRUSTED = 10_000
@@ -28,33 +28,35 @@ HELD_OUT, QUANTILE, SLACK, STEPS = 4, 0.005, 0.05, 10_000
 
 
 def _bucket(*x: Column) -> Column:
-    return F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(*x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _features(w: Column) -> Column:
-    """Buckets of a text's words and word pairs."""
-    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: _bucket(x, F.get(w, i + 1)))
-    return F.concat(F.transform(w, lambda x: _bucket(x)), pairs)
+def _from(x: Column, place: int, less: int) -> Column:
+    """The elements of x from a place (counted from 1) on, `less` fewer than x has."""
+    return F.slice(x, place, F.greatest(F.size(x) - less, F.lit(0)))
 
 
-def _without(text: Column, signs: str) -> Column:
-    for c in signs:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
+def _features(w: Column) -> Column:
+    """Buckets of a text's words and word pairs."""
+    return F.concat(F.transform(w, lambda x: _bucket(x)), F.zip_with(_from(w, 1, 1), _from(w, 2, 1), lambda x, y: _bucket(x, y)))
 
 
 def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`keep`, then w (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of each row's text."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select(*keep, text.alias("t"), words(F.col("text")).alias("w"), lines.alias("lines"))
+    out = docs.select(*keep, text.alias("t"), words(F.col("text")).alias("w"), F.split(text, "\n", -1).alias("lines"))
+    out = out.select("*", F.array_distinct("lines").alias("others"), F.transform("w", lambda x: F.xxhash64(x)).alias("g"))
+    # Only of texts with equal lines these are looked at.
+    spoken = lambda c: F.size(F.filter(c, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    again = F.when(F.size("lines") > F.size("others"), spoken("lines") - spoken("others")).otherwise(0)
+    # Windows of three words as hashes of 64 bits, made of those of their words.
+    g, hashed = F.col("g"), lambda x, y: F.xxhash64(x, y)
     out = out.select(
         *keep, "w", F.size("w").cast("long").alias("n_words"),
-        F.length(_without(spaced(F.col("t")), " ")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        # Windows of three words as hashes of 64 bits.
-        F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))).alias("h"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        again.cast("long").alias("n_dup_lines"),
+        F.zip_with(F.zip_with(_from(g, 1, 2), _from(g, 2, 2), hashed), _from(g, 3, 2), hashed).alias("h"),
     )
     # Only of texts with a repeat the windows are sorted, with their places: neighbours that share the hash repeat.
     placed = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -75,11 +77,10 @@ class Ratio:
 
     def score(self, w: Column) -> Column:
         table = F.split(F.lit(",".join(f"{x:.5f}" for x in self.values)), ",").cast("array<double>")
-        # Each word with the pair that it begins; the last one begins none.
-        pair = lambda x, i: F.when(i + 1 < F.size(w), F.get(table, _bucket(x, F.get(w, i + 1)))).otherwise(F.lit(0.0))
-        each = F.transform(w, lambda x, i: F.get(table, _bucket(x)) + pair(x, i))
-        total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
-        return F.coalesce(total / F.greatest(2 * F.size(w) - 1, F.lit(1)), F.lit(0.0))
+        # Each word with the pair that it begins; the last one, beside no other, counts twice.
+        each = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x, y: F.get(table, _bucket(x)) + F.get(table, _bucket(x, y)))
+        total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b) - F.get(table, _bucket(F.get(w, F.size(w) - 1)))
+        return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).otherwise(F.lit(0.0))
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
