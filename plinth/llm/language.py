@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from plinth.llm.arrays import mix, slices
 from plinth.llm.common import cut
+from plinth.llm.tokens import forget
 
 #: Lengths of n-grams, buckets, smoothing, languages in a slice of the matrix (16 MB).
 ORDERS, BUCKETS, ALPHA, LANGUAGES = (1, 2, 3), 1 << 15, 0.5, 128
@@ -139,6 +140,7 @@ def train(docs: DataFrame, label: str = "lang") -> Model:
     labelled = docs.select("text", F.col(label).alias("label")).filter("text is not null and label is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums: dict[str, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:

@@ -38,6 +38,11 @@ def byte_bpe(path: str, pattern: str):
     return _MADE[pattern, path]
 
 
+def forget() -> None:
+    """Drops a worker's tokenizers and what they remember (about 100 MB), for operators that have none and are next in a worker."""
+    _MADE.clear()
+
+
 class WordBpe:
     """Ids of whole texts as the library gives them, with the ids of words remembered.
 
