@@ -120,7 +120,8 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     share a doc_id.
     """
     # Copies of a whole text repeat everywhere; only the first speaks for them to other texts.
-    docs = docs.filter("not copy or first").select("doc_id", "text", "copy")
+    # All of docs' columns are read everywhere, so that the exchange of texts by doc_id is one.
+    docs = docs.filter("not copy or first").drop("first")
     first = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int8())])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 ])
 
     # One exchange and one sort: the sum over a hash's rows tells whether it was met twice.
-    met = docs.select("doc_id", "text").mapInArrow(anchors, "k long, h long, doc_id long, n tinyint").withColumn("c", F.sum("n").over(Window.partitionBy("k")))
+    met = docs.drop("copy").mapInArrow(anchors, "k long, h long, doc_id long, n tinyint").withColumn("c", F.sum("n").over(Window.partitionBy("k")))
     shared = met.filter("n = 0 or n = 1 and c > 1").select("doc_id", F.coalesce("h", "k").alias("h"))
     lists = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
 
