@@ -276,7 +276,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
                     who, row, points = who[fine], row[fine], points[fine]
                     yield pa.RecordBatch.from_arrays([pa.array(asks[at][who]), pa.array(ids[row]), pa.array(points)], names=["query_id", "vec_id", "score"])
 
-    found = index.join(spread, ["width", "i", "j"]).select("b", "q").mapInArrow(score, "query_id long, vec_id long, score long")
+    # The sizes that Spark estimates count no copies: without the hint one side would be broadcast, copies and all, through the driver.
+    found = index.join(spread.hint("merge"), ["width", "i", "j"]).select("b", "q").mapInArrow(score, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -35,6 +35,15 @@ def test_as_brute_force(spark):
     assert run(spark, rows) == brute(rows, 5, 4)
 
 
+def test_copies_of_blocks_are_not_broadcast(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = top_k(df, F.col("vec_id") % 4 == 0, 3)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 3, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_few_candidates_and_other_widths(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, -1.0]), (4, [1.0]), (8, [3.0, 3.0])]
     assert run(spark, rows) == brute(rows, 5, 4)
