@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.arrays import SLICE_BYTES, Words, compressed, full, mix, plain, slices, windows
@@ -176,9 +176,9 @@ def _with_partners(side: DataFrame) -> DataFrame:
     Only the least need of each component counts, and of these the two least.
     """
     least = cut(side.groupBy("band", "component").agg(F.min("need").alias("need")))
-    first = cut(least.groupBy("band").agg(F.min(F.struct("need", "component")).alias("f")).select("band", F.col("f.need").alias("n1"), F.col("f.component").alias("c1")))
-    second = cut(least.join(first, "band").filter("component != c1").groupBy("band").agg(F.min("need").alias("n2")))
-    kept = side.join(first, "band").join(second, "band").filter(F.col("need") + F.when(F.col("component") == F.col("c1"), F.col("n2")).otherwise(F.col("n1")) <= 0)
+    ranked = least.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("need", "component"))).filter("r <= 2")
+    two = cut(ranked.groupBy("band").agg(F.min("need").alias("n1"), F.min_by("component", "r").alias("c1"), F.max("need").alias("n2"), F.count("*").alias("n")).filter("n = 2").drop("n"))
+    kept = side.join(two, "band").filter(F.col("need") + F.when(F.col("component") == F.col("c1"), F.col("n2")).otherwise(F.col("n1")) <= 0)
     return kept.drop("n1", "c1", "n2")
 
 

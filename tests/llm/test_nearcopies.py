@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from plinth.llm import nearcopies
+from plinth.llm import graph, nearcopies
 from plinth.llm.graph import components
 from plinth.llm.nearcopies import near_duplicates
 from tests.llm.support import corpus, edited, frame, prose, words
@@ -120,3 +122,30 @@ def test_components(spark, links):
     sound = [(a, b) for a, b in links if b is not None and a != b]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert found == reach({n for pair in sound for n in pair}, sound)
+
+
+@pytest.mark.parametrize(("share", "tasks"), [(graph.LINKS, 1), (12, 4)])
+def test_few_links_take_few_tasks(spark, monkeypatch, share, tasks):
+    monkeypatch.setattr(graph, "LINKS", share)
+    made, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(df.rdd.getNumPartitions()) or write(df))
+    links = [(i, i // 4) for i in range(1, 45)]
+    conf = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame(links, "a long, b long"))
+        assert found.rdd.getNumPartitions() <= tasks and max(made[1:]) <= tasks
+        assert dict(map(tuple, found.collect())) == reach(range(45), links)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_least_needs_of_other_components(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(30), rng.randrange(6), rng.randrange(4), rng.randrange(-9, 12)) for _ in range(200)] + [(99, 1, 1, -5), (99, 2, 1, -5)]
+    side = spark.createDataFrame(rows, "band long, class long, component long, need long").repartition(3)
+    least = [r for r in rows if any(r[0] == o[0] and r[2] != o[2] and r[3] + o[3] <= 0 for o in rows)]
+    assert sorted((r["band"], r["class"], r["component"], r["need"]) for r in nearcopies._with_partners(side).collect()) == sorted(least)
