@@ -1,5 +1,7 @@
 import collections
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plinth.llm.packing import Bins, pack, pack_lengths
+from plinth.llm import tokens
 from plinth.llm.tokens import word_bpe
 from tests.llm.support import corpus, frame, prose
 
@@ -113,3 +116,40 @@ def test_words_of_random_texts():
     for _ in range(3000):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12)))
         assert known.encode([text])[0].tolist() == known.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+class Counted:
+    """The library's merges, and what they were asked for."""
+
+    def __init__(self, merges):
+        self.merges, self.asked = merges, []
+
+    def tokenize(self, piece):
+        self.asked.append(piece)
+        return self.merges.tokenize(piece)
+
+
+def test_letters_are_cut_once(monkeypatch):
+    known = tokens.WordBpe(PATH)
+    known.pieces.merges = Counted(known.pieces.merges)
+    texts = ["zorb Zorb. zorb, été", "zorb! Été. ÉTÉ été; qux.", "qux zorb"]
+    for text in texts:
+        assert known.encode([text])[0].tolist() == known.library.encode(text, add_special_tokens=False).ids
+    assert known.pieces.merges.asked.count("zorb") == 1 and known.pieces.merges.asked.count("qux") == 2
+    # Of generations there are two, however many texts come.
+    monkeypatch.setattr(tokens, "REMEMBERED", 0)
+    for text in texts * 2:
+        assert known.encode([text])[0].tolist() == known.library.encode(text, add_special_tokens=False).ids
+    assert known.known.older and known.known.older.older == {}
+
+
+def test_a_forgotten_tokenizer_is_free_at_once():
+    gc.collect()
+    gc.disable()
+    try:
+        word_bpe(PATH).encode(["a few words, é 12"])
+        held = weakref.ref(word_bpe(PATH))
+        tokens.forget()
+        assert held() is None
+    finally:
+        gc.enable()
