@@ -68,7 +68,7 @@ def _files(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, limit: str = "2m") -> None:
     """Lets the session hand texts to Python in batches of at most `limit`, unless it has a limit of its own.
 
     Rows of documents are large; batches of Spark's default size are held several

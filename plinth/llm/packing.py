@@ -13,7 +13,7 @@ which need no padding.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from plinth.llm.tokens import word_bpe
 
 #: Bytes of text that make a group, about, and what a row counts besides its text.
 GROUP_BYTES, ROW_BYTES = 8 << 20, 64
-#: Pieces handed on at once.
-PIECES = 1024
+#: Pieces handed on at once, and bytes of their ids, about.
+PIECES, PIECES_BYTES = 1024, 2 << 20
 
 #: (document, start, length) of consecutive tokens.
 Piece = tuple[int, int, int]
@@ -131,21 +131,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
         """The sequences that a group makes, and their pieces; sequences are numbered from `first`."""
         sequences = pack_lengths([len(x) for x in ids], capacity)
 
-        def batches() -> Iterator[pa.RecordBatch]:
-            rows: list[tuple] = []
+        def rows() -> Iterator[tuple]:
             for i, sequence in enumerate(sequences):
                 offset = 0
                 for doc, start, n in sequence:
                     raw = ids[doc][start : start + n].astype("<u4").tobytes()
-                    rows.append((names[doc], start, n, zlib.crc32(raw), len(ids[doc]), first + i, offset, raw if with_ids else None))
+                    yield names[doc], start, n, zlib.crc32(raw), len(ids[doc]), first + i, offset, raw if with_ids else None
                     offset += n
-                if len(rows) >= PIECES:
-                    yield _batch(rows, schema)
-                    rows = []
-            if rows:
-                yield _batch(rows, schema)
 
-        return len(sequences), batches()
+        return len(sequences), _batches(rows(), schema)
 
     def pack_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_bpe(tokenizer), None
@@ -176,5 +170,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     return ordered.mapInArrow(pack_slots, kinds)
 
 
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most PIECES; one that holds PIECES_BYTES of ids, in the last column, is handed on."""
+    some: list[tuple] = []
+    held = 0
+    for row in rows:
+        some.append(row)
+        held += len(row[-1] or b"")
+        if len(some) >= PIECES or held >= PIECES_BYTES:
+            yield _batch(some, schema)
+            some, held = [], 0
+    if some:
+        yield _batch(some, schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

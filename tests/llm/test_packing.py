@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from plinth.llm import packing, tokens
+from plinth.llm.common import bounded_batches
 from plinth.llm.packing import Bins, pack, pack_lengths
-from plinth.llm import tokens
 from plinth.llm.tokens import word_bpe
 from tests.llm.support import corpus, frame, prose
 
@@ -153,3 +155,23 @@ def test_a_forgotten_tokenizer_is_free_at_once():
         assert held() is None
     finally:
         gc.enable()
+
+
+def test_pieces_are_handed_on_by_bytes():
+    """Whole sequences make batches far smaller than short pieces do; all rows come once, in order."""
+    schema = pa.schema([("n", pa.int64()), ("ids", pa.binary())])
+    rows = [(i, bytes(4 * (4096 if i % 3000 < 1000 else 5)) if i % 7 else None) for i in range(6000)]
+    batches = list(packing._batches(iter(rows), schema))
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows
+    assert max(b.num_rows for b in batches) == packing.PIECES
+    assert max(b.column("ids").nbytes for b in batches) < packing.PIECES_BYTES + 4 * 4096 + 8 * packing.PIECES
+
+
+def test_the_pipeline_hands_small_batches_to_python(spark):
+    """A session without a limit of its own gets one of 2 MB; its own one stays."""
+    other, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    bounded_batches(other)
+    assert other.conf.get(key) in ("2m", str(2 << 20), f"{2 << 20}b")
+    other.conf.set(key, "1m")
+    bounded_batches(other)
+    assert other.conf.get(key) in ("1m", str(1 << 20), f"{1 << 20}b")
